@@ -19,20 +19,50 @@ BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, BLANK_RUN), lambda w: w != "")
+    inner = F.btrim(text, F.lit(BLANKS))
+    return F.when(inner != "", F.split(inner, BLANK_RUN)).otherwise(F.array().cast("array<string>"))
 
 
-def _grams(words: Column, n_words: Column, buckets: int) -> Column:
+def _count(text: Column, chars: str) -> Column:
+    """Occurrences of ASCII characters; replace() works on bytes, far faster than translate()."""
+    rest = text
+    for c in chars:
+        rest = F.replace(rest, F.lit(c), F.lit(""))
+    return (F.octet_length(text) - F.octet_length(rest)).cast("long")
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _with_next(items: Column, following: Column, n: Column) -> Column:
+    """Hash each of the first n items with the one that follows it."""
+    n = F.greatest(n, F.lit(0))
+    return F.zip_with(
+        F.slice(items, F.lit(1), n), F.slice(following, F.lit(2), n), lambda a, b: F.xxhash64(a, b)
+    )
+
+
+def _grams(hashes: Column, pairs: Column, buckets: int) -> Column:
     """Hash buckets of the words and of the pairs of neighbouring words."""
-    ones = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    pairs = F.when(
-        n_words > 1,
-        F.transform(
-            F.sequence(F.lit(0), n_words - 2),
-            lambda i: F.pmod(F.xxhash64(F.get(words, i), F.get(words, i + 1)), F.lit(buckets)).cast("int"),
-        ),
-    ).otherwise(F.array().cast("array<int>"))
-    return F.concat(ones, pairs)
+    return F.transform(F.concat(hashes, pairs), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _text, _h (a hash a word) and _p (a hash a pair), each computed once."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    n = F.size("_h")
+    return (
+        docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
+        .withColumn("_h", _hashes(_words(F.col("_text"))))
+        .withColumn("_p", _with_next(F.col("_h"), F.col("_h"), n - 1))
+    )
+
+
+def _neighbours(items: Column, f) -> Column:
+    """f of each item and the next."""
+    n = F.greatest(F.size(items) - 1, F.lit(0))
+    return F.zip_with(F.slice(items, F.lit(1), n), F.slice(items, F.lit(2), n), f)
 
 
 def fit_ratio(
@@ -50,10 +80,10 @@ def fit_ratio(
     target. Only the ``buckets`` sums come to the driver.
     """
     ids = F.broadcast(trusted.select(F.col(id_col).alias("_id"), F.lit(1).alias("_t")))
-    base = docs.select(F.col(id_col).alias("_id"), _words(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("_w"))
     sums = (
-        base.join(ids, "_id", "left")
-        .select(F.coalesce("_t", F.lit(0)).alias("_t"), F.explode(_grams(F.col("_w"), F.size("_w"), buckets)).alias("_b"))
+        _hashed(docs, id_col, text_col)
+        .join(ids, "_id", "left")
+        .select(F.coalesce("_t", F.lit(0)).alias("_t"), F.explode(_grams(F.col("_h"), F.col("_p"), buckets)).alias("_b"))
         .groupBy("_b")
         .agg(F.count("*").alias("raw"), F.sum("_t").alias("target"))
         .collect()
@@ -91,7 +121,7 @@ def quality_rules(
     text_col: str = "text",
     min_words: int = 50,
     max_repeat_pct: int = 50,
-    threshold: float = -0.3,
+    threshold: float = -0.06,
 ) -> DataFrame:
     """Counts, base verdict, score and verdict of every document.
 
@@ -107,48 +137,38 @@ def quality_rules(
     """
     buckets = len(ratio)
     weights = F.split(F.lit(",".join(map(str, ratio))), ",").cast("array<bigint>")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), _words(text).alias("_w"), _words(F.lower(text)).alias("_lw"))
-    n = F.size("_w")
-    hashed = words.select(
-        "doc_id",
+    n = F.size("_h")
+    counted = _hashed(docs, id_col, text_col).select(
+        F.col("_id").alias("doc_id"),
         n.alias("_n"),
-        F.length(F.translate("_text", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("_text") - _count(F.col("_text"), BLANKS)).alias("word_chars"),
+        _count(F.col("_text"), SYMBOLS).alias("n_symbols"),
         F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "").alias("_lines"),
-        F.when(
-            n > 2,
-            F.transform(
-                F.sequence(F.lit(0), n - 3),
-                lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)),
-            ),
-        ).otherwise(F.array().cast("array<bigint>")).alias("_win"),
+        _with_next(F.col("_p"), F.slice("_h", F.lit(2), F.greatest(n - 1, F.lit(0))), n - 2).alias("_win"),
         F.aggregate(
-            _grams(F.col("_lw"), F.size("_lw"), buckets), F.lit(0).cast("bigint"), lambda a, b: a + F.get(weights, b)
+            _grams(F.col("_h"), F.col("_p"), buckets), F.lit(0).cast("bigint"), lambda a, b: a + F.get(weights, b)
         ).alias("_sum"),
-        F.greatest(2 * F.size("_lw") - 1, F.lit(0)).alias("_grams"),
+        F.greatest(2 * n - 1, F.lit(0)).alias("_grams"),
     )
-    counted = hashed.select(
+    ordered = counted.select(
         "doc_id", "_n", "word_chars", "n_symbols", "_sum", "_grams",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        # Only texts with a window found twice need the windows in order.
+        # Only texts with a window found twice need their windows in order.
         F.when(
-            F.size("_win") == F.size(F.array_distinct("_win")), F.array().cast("array<struct<h:bigint,p:int>>")
-        ).otherwise(
-            F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
-        ).alias("_s"),
+            F.size("_win") > F.size(F.array_distinct("_win")),
+            F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("p")))),
+        ).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")).alias("_s"),
     )
-    same = lambda x, i: (F.get("_s", i - 1)["h"] == x["h"]) | (F.get("_s", i + 1)["h"] == x["h"])
-    placed = counted.withColumn(
+    placed = ordered.withColumn(
         "_at",
-        F.sort_array(
-            F.transform(F.filter("_s", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["p"])
-        ),
-    )
-    # Each window adds its words up to the start of the next: three at the most.
+        F.sort_array(F.array_distinct(F.flatten(_neighbours(
+            F.col("_s"), lambda a, b: F.when(a["h"] == b["h"], F.array(a["p"], b["p"])).otherwise(F.array().cast("array<int>"))
+        )))),
+    )
+    # Each window adds its words up to the start of the next, three at the most.
     covered = F.aggregate(
-        F.transform("_at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_at", i + 1) - p, F.lit(3)))),
-        F.lit(0).cast("bigint"),
+        _neighbours(F.col("_at"), lambda a, b: F.least(F.lit(3), b - a)),
+        F.when(F.size("_at") > 0, F.lit(3)).otherwise(F.lit(0)).cast("bigint"),
         lambda a, x: a + x,
     )
     return (
