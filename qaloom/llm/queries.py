@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .decontam import OP2_SQL, op2_decontamination
+from .langid import op4_language_id
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .minhash import OP9_SQL, op9_minhash
 from .quality_rules import op10_quality_rules
@@ -11,6 +12,7 @@ from .quality_rules import op10_quality_rules
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op4_language_id": op4_language_id,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
     "op10_quality_rules": op10_quality_rules,
