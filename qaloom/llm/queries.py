@@ -8,11 +8,13 @@ from .langid import op4_language_id
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .minhash import OP9_SQL, op9_minhash
 from .quality_rules import op10_quality_rules
+from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
+    "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
     "op10_quality_rules": op10_quality_rules,
@@ -20,5 +22,6 @@ QUERIES = {
 ORACLES = {
     "op2_decontamination": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
+    "op7_warc": OP7_SQL,
     "op9_minhash": OP9_SQL,
 }
