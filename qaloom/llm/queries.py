@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .chat import OP6_SQL, op6_chat_format
 from .decontam import OP2_SQL, op2_decontamination
 from .langid import op4_language_id
 from .line_dedup import OP3_SQL, op3_line_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
+    "op6_chat_format": op6_chat_format,
     "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
@@ -22,6 +24,7 @@ QUERIES = {
 ORACLES = {
     "op2_decontamination": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
+    "op6_chat_format": OP6_SQL,
     "op7_warc": OP7_SQL,
     "op9_minhash": OP9_SQL,
 }
