@@ -22,22 +22,22 @@ from qaloom.llm.minhash import near_duplicates
 
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id, text and the whole row as a struct, so that no column name can clash."""
-    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("packed"))
 
 
 def _row(docs: DataFrame, changed: dict[str, Column] | None = None) -> list[Column]:
-    return [(changed or {}).get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns]
+    return [(changed or {}).get(c, F.col("packed").getField(c)).alias(c) for c in docs.columns]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a recognised language; null and letterless texts go."""
-    found = identify(_packed(docs), train(docs), carry=["_row"])
+    found = identify(_packed(docs), train(docs), carry=["packed"])
     return found.where(~F.col("rejected")).select(*_row(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that an earlier document has; every document stays, n_chars follows its text."""
-    return dedup_lines(_packed(docs), carry=["_row"]).select(
+    return dedup_lines(_packed(docs), carry=["packed"]).select(
         *_row(docs, {"text": F.col("text"), "n_chars": F.length("text").cast("long")})
     )
 
@@ -50,7 +50,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in which no window of a benchmark item occurs."""
-    found = decontaminate(_packed(docs), table(spark, sf_dir, "benchmark"), carry=["_row"])
+    found = decontaminate(_packed(docs), table(spark, sf_dir, "benchmark"), carry=["packed"])
     return found.where("n_hit = 0").select(*_row(docs))
 
 
