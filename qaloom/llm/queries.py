@@ -7,11 +7,13 @@ from .chat import OP6_SQL, op6_chat_format
 from .decontam import OP2_SQL, op2_decontamination
 from .langid import op4_language_id
 from .line_dedup import OP3_SQL, op3_line_dedup
+from .lm_score import op1_lm_score
 from .minhash import OP9_SQL, op9_minhash
 from .quality_rules import op10_quality_rules
 from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
