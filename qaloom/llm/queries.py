@@ -10,6 +10,7 @@ from .line_dedup import OP3_SQL, op3_line_dedup
 from .lm_score import op1_lm_score
 from .minhash import OP9_SQL, op9_minhash
 from .quality_rules import op10_quality_rules
+from .secrets import op5_secret_scan
 from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
+    "op5_secret_scan": op5_secret_scan,
     "op6_chat_format": op6_chat_format,
     "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
