@@ -73,7 +73,7 @@ def top_k(
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, k: int, vector_weight: float = 0.7, keyword_weight: float = 0.3, digits: int = 6) -> DataFrame:
+def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, k: int, vector_weight: float = 0.7, keyword_weight: float = 0.3, digits: int = 9) -> DataFrame:
     """``query_id, id, combined_score, rank``: hits of all legs merged by id.
 
     Each leg has ``query_id, id, similarity, rank``; keyword legs also ``leg`` (from
@@ -88,8 +88,8 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, k: int, vector_weight:
     return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("met")
 
 
-def hybrid(items: DataFrame, queries: DataFrame, keywords: list[str], k: int = 5, text: str = "text", **weights) -> DataFrame:
-    """Vector leg and one leg for each keyword column of ``queries``, each of 2k hits, fused to k."""
+def hybrid(items: DataFrame, queries: DataFrame, keywords: list[str], k: int = 5, text: str = "text", keep: int | None = None, **weights) -> DataFrame:
+    """Vector leg and one leg for each keyword column of ``queries``, each of 2k hits, fused to k (or ``keep``)."""
     vector_hits = top_k(items, queries, 2 * k)
     legs = [
         top_k(items, queries, 2 * k, keywords=c, text=text).withColumn("leg", F.lit(i)) for i, c in enumerate(keywords, 1)
@@ -97,7 +97,7 @@ def hybrid(items: DataFrame, queries: DataFrame, keywords: list[str], k: int = 5
     merged = legs[0]
     for more in legs[1:]:
         merged = merged.unionByName(more)
-    return fuse(vector_hits, merged, k, **weights)
+    return fuse(vector_hits, merged, keep or k, **weights)
 
 
 def best_per_id(hits: DataFrame, keys: list[str], score: Column, k: int, order: list[str]) -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import access, search
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "access", "search"]
