@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import access, search
+from . import access, judge, search
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "access", "search"]
+__all__ = ["ORACLES", "QUERIES", "access", "judge", "search"]
