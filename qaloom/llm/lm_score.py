@@ -184,7 +184,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
                 context = own.context(ids, lengths)
                 sums = np.concatenate([[0.0], *(own.log_probs(context[:, lo : lo + chunk], ids[lo : lo + chunk]) for lo in range(0, len(ids), chunk))])
                 owner = np.repeat(np.arange(b - a), lengths)
-                total = np.bincount(owner, sums[1:], b - a)
+                total = np.bincount(owner, sums[1:], b - a).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), pa.array(lengths.astype(np.int64)), pa.array(total)], ["doc_id", "n_tokens", "log_prob"]
                 )
