@@ -17,30 +17,21 @@ def _unit(rows) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def top_k(
-    items: DataFrame,
-    queries: DataFrame,
-    k: int = 5,
-    item_id: str = "id",
-    query_id: str = "query_id",
-    vector: str = "embedding",
-    digits: int = 6,
-    block: int = 8192,
-    keywords: str | None = None,
-    text: str | None = None,
+def _scan(
+    items: DataFrame, queries: DataFrame, pick, item_id: str, query_id: str, vector: str, digits: int, block: int, keywords: str | None = None, text: str | None = None
 ) -> DataFrame:
-    """``query_id, id, similarity, rank``: the k nearest items of every query by cosine, ties by id.
+    """Score all items against all queries and keep what ``pick`` chooses of each batch.
 
-    Queries are dealt into blocks of at most ``block`` vectors, the bound of what a
-    task holds; items stream past each block and only each batch's k best a query
-    leave it, so the shuffle carries k rows a query and batch and never the pairs.
-    With ``keywords`` (a query column) and ``text`` (an item column), only items
-    whose text contains the query's keyword count.
+    ``pick(query, keys, similarities)`` gives positions for one query and a batch of
+    items. Queries are dealt into blocks of at most ``block`` vectors, the bound of
+    what a task holds; items stream past each block, and only what is picked leaves a
+    task, never the pairs. With ``keywords`` (a query column) and ``text`` (an item
+    column), only items whose text contains the query's keyword count.
     """
-    spark = items.sparkSession
-    chosen = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v"), (F.col(keywords) if keywords else F.lit(None).cast("string")).alias("w"))
+    nothing = F.lit(None).cast("string")
+    chosen = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v"), (F.col(keywords) if keywords else nothing).alias("w"))
+    base = items.select(F.col(item_id).cast("long").alias("id"), F.col(vector).alias("v"), (F.col(text) if text else nothing).alias("t"))
     blocks = max(1, -(-chosen.count() // block))
-    base = items.select(F.col(item_id).cast("long").alias("id"), F.col(vector).alias("v"), (F.col(text) if text else F.lit(None).cast("string")).alias("t"))
 
     def run(shared):
         def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,28 +40,70 @@ def top_k(
                 if not len(batch) or not len(ids):
                     continue
                 scores = np.round(vectors @ _unit(batch["v"]).T, digits)
-                keys, texts = batch["id"].to_numpy(np.int64), batch["t"].tolist()
-                out = []
+                keys, texts, out = batch["id"].to_numpy(np.int64), batch["t"].tolist(), []
                 for i, q in enumerate(ids):
-                    row = scores[i]
-                    allowed = np.arange(len(keys)) if words is None else np.array([j for j, t in enumerate(texts) if t and words[i] and words[i] in t], np.int64)
-                    best = allowed[np.lexsort((keys[allowed], -row[allowed]))[:k]]
-                    out.append(pd.DataFrame({"query_id": q, "id": keys[best], "similarity": row[best]}))
+                    own = np.arange(len(keys))
+                    if words is not None:
+                        own = np.array([j for j, t in enumerate(texts) if t and words[i] and words[i] in t], np.int64)
+                    best = own[pick(q, keys[own], scores[i][own])]
+                    out.append(pd.DataFrame({"query_id": q, "id": keys[best], "similarity": scores[i][best]}))
                 yield pd.concat(out)
 
         return of
 
-    found = []
+    found = None
     for i in range(blocks):
         part = chosen.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i) if blocks > 1 else chosen
         rows = part.collect()
         value = ([r["q"] for r in rows], _unit([r["v"] for r in rows]) if rows else None, [r["w"] for r in rows] if keywords else None)
-        found.append(base.mapInPandas(run(spark.sparkContext.broadcast(value)), HITS))
-    merged = found[0]
-    for more in found[1:]:
-        merged = merged.unionByName(more)
+        hits = base.mapInPandas(run(items.sparkSession.sparkContext.broadcast(value)), HITS)
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def top_k(
+    items: DataFrame,
+    queries: DataFrame,
+    k: int = 5,
+    item_id: str = "id",
+    query_id: str = "query_id",
+    vector: str = "embedding",
+    digits: int = 6,
+    block: int = 8192,
+    keywords: str | None = None,
+    text: str | None = None,
+) -> DataFrame:
+    """``query_id, id, similarity, rank``: the k nearest items of every query by cosine, ties by id."""
+    best = lambda q, keys, sims: np.lexsort((keys, -sims))[:k]
+    hits = _scan(items, queries, best, item_id, query_id, vector, digits, block, keywords, text)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest_before(
+    items: DataFrame, queries: DataFrame, item_id: str = "id", query_id: str = "query_id", vector: str = "embedding", digits: int = 6, block: int = 8192
+) -> DataFrame:
+    """``query_id, max_similarity``: how near the nearest item of a smaller id is."""
+
+    def best(q, keys, sims):
+        earlier = np.flatnonzero(keys < q)
+        return earlier[[sims[earlier].argmax()]] if len(earlier) else earlier
+
+    hits = _scan(items, queries, best, item_id, query_id, vector, digits, block)
+    return hits.groupBy("query_id").agg(F.max("similarity").alias("max_similarity"))
+
+
+def first_between(
+    items: DataFrame, queries: DataFrame, low: float, high: float, item_id: str = "id", query_id: str = "query_id", vector: str = "embedding", digits: int = 6, block: int = 8192
+) -> DataFrame:
+    """``query_id, id``: the item of smallest id whose similarity lies strictly between the limits."""
+
+    def first(q, keys, sims):
+        inside = np.flatnonzero((sims > low) & (sims < high))
+        return inside[[keys[inside].argmin()]] if len(inside) else inside
+
+    hits = _scan(items, queries, first, item_id, query_id, vector, digits, block)
+    return hits.groupBy("query_id").agg(F.min("id").alias("id"))
 
 
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, k: int, vector_weight: float = 0.7, keyword_weight: float = 0.3, digits: int = 9) -> DataFrame:

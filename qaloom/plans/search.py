@@ -136,18 +136,21 @@ _HIST = W + """c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddin
  s AS (SELECT c.id, round(list_cosine_similarity(c.e, h.embedding::DOUBLE[]), 6) AS sim FROM c JOIN embeddings h ON h.vec_id < c.id) """
 
 
+def _candidates(read):
+    return read("embeddings").where(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id")
+
+
 @query("jn_history_sim", _HIST + "SELECT id, max(sim) AS max_similarity FROM s GROUP BY id")
 def _(read):
-    e = read("embeddings").select(F.col("vec_id").alias("h"), F.col("embedding").alias("b"))
-    c = read("embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("id"), F.col("embedding").alias("a"))
-    return c.join(e, F.col("h") < F.col("id")).groupBy("id").agg(F.max(F.round(cosine(F.col("a"), F.col("b")), 6)).alias("max_similarity"))
+    """Candidates are the vectors of ids divisible by 20, their history all earlier vectors."""
+    near = retrieval.nearest_before(read("embeddings"), _candidates(read), item_id="vec_id")
+    return near.withColumnRenamed("query_id", "id")
 
 
 @query("jn_semi_redundant", _HIST + "SELECT DISTINCT id FROM s WHERE sim > 0.4")
 def _(read):
-    e = read("embeddings").select(F.col("vec_id").alias("h"), F.col("embedding").alias("b"))
-    c = read("embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("id"), F.col("embedding").alias("a"))
-    return c.join(e, (F.col("h") < F.col("id")) & (F.round(cosine(F.col("a"), F.col("b")), 6) > 0.4), "left_semi").select("id")
+    near = retrieval.nearest_before(read("embeddings"), _candidates(read), item_id="vec_id")
+    return near.where("max_similarity > 0.4").select(F.col("query_id").alias("id"))
 
 
 _ADJ = W + VECTORS + """, a AS (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY id) AS n FROM sims WHERE similarity > 0.4 AND similarity < 0.8)
@@ -155,9 +158,7 @@ _ADJ = W + VECTORS + """, a AS (SELECT query_id, id, similarity, row_number() OV
 
 
 def _adjacent(read):
-    sims = retrieval.top_k(vectors(read), vector_queries(read), 1_000_000)
-    between = sims.where("similarity > 0.4 AND similarity < 0.8")
-    return between.groupBy("query_id").agg(F.min("id").alias("id"))
+    return retrieval.first_between(vectors(read), vector_queries(read), 0.4, 0.8)
 
 
 @query("jn_adjacent", _ADJ.format(""))
