@@ -383,3 +383,75 @@ def _(read):
     """Rows as a collection would store them: ids made, metadata checked, extras kept."""
     c = filters.require(chunks(read), ["chapter", "section_id", "page_number", "chunk_index"])
     return c.select("id", "text", "chapter", "section_id", "page_number", "chunk_index", F.create_map(F.lit("doc"), "section_id").alias("extra"))
+
+
+def golden(read):
+    """Golden records made of the question carrier; what it lacks is null."""
+    from qaloom.schemas import GOLDEN
+
+    q = questions(read).select(F.col("id").cast("string").alias("id"), "question", "difficulty", "cognitive_level", F.col("chapter").alias("answer"))
+    return q.select(*(F.col(f.name) if f.name in q.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in GOLDEN.fields))
+
+
+_GOLDEN = W + QUESTIONS + " SELECT id::VARCHAR AS id, question, difficulty, cognitive_level FROM questions"
+
+
+@query("snk_jsonl", _GOLDEN)
+def _(read):
+    """Written as JSONL and read back against the schema."""
+    from qaloom.sources.store import read_golden, scratch, write_golden
+
+    g = golden(read)
+    write_golden(g, path := scratch(g.sparkSession, "golden"))
+    return read_golden(g.sparkSession, path).select("id", "question", "difficulty", "cognitive_level")
+
+
+@query("src_jsonl", W + QUESTIONS + " SELECT id % 2 AS approach, count(*) AS n FROM questions GROUP BY 1")
+def _(read):
+    """Two approaches' datasets read as one, told apart by file."""
+    from qaloom.sources.store import read_golden, scratch, write_golden
+
+    g = golden(read)
+    root = scratch(g.sparkSession, "approaches")
+    for k in (0, 1):
+        write_golden(g.where(F.col("id").cast("long") % 2 == k), f"{root}/approach={k}")
+    rows = read_golden(g.sparkSession, f"{root}/approach=0", f"{root}/approach=1")
+    which = F.regexp_extract("source_file", "approach=([01])", 1).cast("long")
+    return rows.groupBy(which.alias("approach")).agg(F.count("*").alias("n"))
+
+
+_LOG = W + SCORES + " SELECT chapter AS thread_id, max(id) AS checkpoint_id, arg_max(iterations, id)::VARCHAR AS state FROM scores GROUP BY 1"
+
+
+@query("snk_checkpoint", _LOG)
+def _(read):
+    """Latest state of every thread of an append-only log."""
+    from qaloom.sources.store import Checkpoints, scratch
+
+    s = scores(read).select(F.col("chapter").alias("thread_id"), F.col("id").alias("checkpoint_id"), F.col("iterations").cast("string").alias("state"))
+    log = Checkpoints(s.sparkSession, scratch(s.sparkSession, "log"))
+    log.save(s)
+    return log.latest()
+
+
+@query("st_checkpoint", W + SCORES + " SELECT chapter AS thread_id, count(*) AS checkpoints FROM scores GROUP BY 1")
+def _(read):
+    """Checkpoints listed by thread, saved in two runs as after a restart."""
+    from qaloom.sources.store import Checkpoints, scratch
+
+    s = scores(read).select(F.col("chapter").alias("thread_id"), F.col("id").alias("checkpoint_id"), F.col("iterations").cast("string").alias("state"))
+    log = Checkpoints(s.sparkSession, scratch(s.sparkSession, "log"))
+    log.save(s.where("checkpoint_id % 2 = 0"))
+    log.save(s.where("checkpoint_id % 2 = 1"))
+    return log.list().groupBy("thread_id").agg(F.count("*").alias("checkpoints"))
+
+
+@query("udtf_chunk")
+def _(read):
+    from qaloom.functions.udtf import register
+
+    docs = read("documents").select("doc_id", "text")
+    register(docs.sparkSession)
+    return docs.sparkSession.sql(
+        "SELECT doc_id, chunk_index, chunk FROM {docs}, LATERAL separator_chunks(text, 500, 50, '\\n')", docs=docs
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,12 @@ from qaloom.operators.filters import require
 from qaloom.schemas import CHUNK, GOLDEN, REQUIRED_METADATA
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir; unset only in local tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "spark-warehouse/scratch"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 class Collection:
     """A persistent table of chunks."""
 
