@@ -14,7 +14,11 @@ BLANKS = " \t\n\x0b\f\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that lie in fewer splits than there are cores are dealt out to all of them."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    few = name in ("documents", "pages") and found.rdd.getNumPartitions() < cores
+    return found.repartition(cores) if few else found
 
 
 def ascii_lower(text: Column) -> Column:
