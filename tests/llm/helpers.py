@@ -31,10 +31,6 @@ def empty_docs(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def rows(df, *order):
-    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is not None, str(x)) for x in r))
-
-
 def duck(sql, **tables):
     """Rows of a DuckDB query over Spark frames."""
     import duckdb
