@@ -123,7 +123,9 @@ def _rest(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int)
     documents in buckets with several components, two that link share one of their
     rarest shingles (the prefix filter), so those are the keys of a further join.
     A document with more unshared shingles than a link allows drops out. In each
-    key only members outside its largest component look for partners.
+    key only members outside its largest component look for partners, and only
+    pairs whose shingles from the common one on can still reach the overlap that
+    their sizes ask for (the positional filter; a linking pair passes at its first common shingle).
     """
     known = members.join(labels, members["rep"] == labels["node"], "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("comp")
@@ -142,18 +144,20 @@ def _rest(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int)
         # 1 + n - ceil(percent * n / 100) of the rarest, those nobody shares first
         .withColumn("left", 1 + F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") - (F.col("n") - F.size("s")))
         .where("left > 0")
-        .select("rep", "comp", "n", F.explode(F.slice("s", F.lit(1), F.col("left"))).alias("t"))
-        .select("rep", "comp", "n", F.col("t.token").alias("token"))
+        .select("rep", "comp", "n", (F.col("n") - F.size("s")).alias("u"), F.posexplode(F.slice("s", F.lit(1), F.col("left"))).alias("i", "t"))
+        # what a pair can share from its first common shingle on
+        .select("rep", "comp", "n", F.col("t.token").alias("token"), (F.col("n") - F.col("u") - F.col("i")).alias("tail"))
     )
     keys = cut(ranked, "prefixes")
     sizes = keys.groupBy("token", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1")
     minor = keys.join(main, "token").where("comp <> main")
-    other = keys.select("token", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
+    other = keys.select("token", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("tail").alias("tail2"))
     near = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+    enough = (100 + percent) * F.least("tail", "tail2") >= percent * (F.col("n") + F.col("n2"))
     return (
         minor.join(other, "token")
-        .where((F.col("comp") != F.col("comp2")) & near)
+        .where((F.col("comp") != F.col("comp2")) & near & enough)
         .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
         .distinct()
     )
