@@ -12,7 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower
+from .common import BLANKS, ascii_lower, cut
+
+#: Bound of the number of very frequent lines that are broadcast.
+MOST_HOT = 1000
 
 
 def dedup_lines(
@@ -49,10 +52,18 @@ def dedup_lines(
     # With a limit of two, a smallest id unlike the largest is a count of two, and
     # both combine before the shuffle, so a line in a third of all documents is cheap.
     enough = F.min("doc_id") < F.max("doc_id") if min_docs == 2 else F.count_distinct("doc_id") >= min_docs
-    found = lines.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("_first"), enough.alias("_enough"))
-    shared = found.where("_enough").drop("_enough")
+    found = lines.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"), enough.alias("_enough"))
+    shared = cut(found.where("_enough").drop("_enough"), "lines")
+    # Fewer than MOST_HOT keys can each have over 1/MOST_HOT of all shared lines: those few are
+    # broadcast, so that no task gets all lines of one key; the others are joined by a shuffle.
+    limit = (shared.agg(F.sum("_n")).first()[0] or 0) / MOST_HOT
+    hot = F.broadcast(shared.where(F.col("_n") > limit).select("_h1", "_h2", "_first"))
+    common = lines.join(hot, ["_h1", "_h2"], "left_anti").join(
+        shared.where(F.col("_n") <= limit).select("_h1", "_h2", "_first"), ["_h1", "_h2"]
+    )
     drops = (
-        lines.join(shared, ["_h1", "_h2"])
+        lines.join(hot, ["_h1", "_h2"])
+        .unionByName(common)
         .where(F.col("doc_id") != F.col("_first"))
         .groupBy("doc_id", "_row")
         .agg(F.collect_set("_pos").alias("_drops"))
