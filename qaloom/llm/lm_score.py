@@ -4,34 +4,45 @@ A bidirectional window network, trained in numpy, predicts every token from the
 tokens on either side of it; the conditional log-probabilities of all tokens of a
 text sum to its score. The output is factored into token classes and members, so a
 prediction costs two small softmaxes rather than one over the vocabulary.
+
+The vocabulary, classes and members follow the corpus: every word that occurs at least
+sqrt(tokens) / RULE times has an id of its own. Every other word shares one of RARE ids
+for its place in the text and is told apart by its spelling: a byte trigram model of all
+rare words of the corpus gives each its own probability.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 from .shingles import _SOLID, stretches, word_hashes
 
 OFFSETS = (-2, -1, 1, 2)
+#: The smallest network; a larger corpus has more classes and members.
 CLASSES = MEMBERS = 32
 VOCABULARY = CLASSES * MEMBERS
+RULE = 16
+#: Weights in a row, as they are shuffled.
+BLOCK = 16_384
 #: Id 0 stands for what lies outside the text; ids 1 to RARE are shared by words out of the vocabulary.
 RARE, WIDTH = 64, 24
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the texts end to end, and each text's number of words. Words are lower-cased in A-Z."""
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, where words start and end in them, and each text's number of words."""
     plain = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(plain)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), *(np.zeros(0, np.int64) for _ in range(3))
     bounds = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset : plain.offset + n + 1]
     data = plain.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
@@ -41,33 +52,85 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     cut[bounds] = True
     starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | cut[:-1]))
     ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | cut[1:])) + 1
-    return word_hashes(raw, starts, ends), np.diff(np.searchsorted(starts, bounds))
+    return raw, starts, ends, np.diff(np.searchsorted(starts, bounds))
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the texts end to end, and each text's number of words. Words are lower-cased in A-Z."""
+    raw, starts, ends, lengths = words(texts)
+    return word_hashes(raw, starts, ends), lengths
+
+
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+#: Stands before and after a word.
+END = 32
+
+
+def spelled(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte and the end of every word, with the two bytes before it, as columns, and each word's number of columns."""
+    sizes = ends - starts
+    tail = np.cumsum(sizes + 2)
+    at = np.repeat(tail - sizes - starts, sizes)
+    source = np.arange(len(at)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    buffer = np.full((tail[-1] if len(tail) else 0) + 2, END, np.uint8)
+    buffer[source + at] = _LOW[raw[source]]
+    keep = np.ones(len(buffer) - 2, bool)
+    keep[tail - 1] = False
+    return np.stack([buffer[:-2][keep], buffer[1:-1][keep], buffer[2:][keep]]), sizes + 1
+
+
+class Spelling:
+    """Probabilities of words by their bytes: trigrams, smoothed by bigrams, bytes and at last an even share.
+
+    They sum to 1 over all words. The table has one place for each byte the corpus has and one for all others.
+    """
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        """Distinct trigrams (first * 65536 + second * 256 + third) and how often each occurs."""
+        triples = np.stack([codes >> 16, (codes >> 8) & 255, codes & 255]).astype(np.int64)
+        seen = np.union1d(triples.ravel(), [END])
+        self.place = np.full(256, len(seen), np.int64)
+        self.place[seen] = np.arange(len(seen))
+        self.side = side = len(seen) + 1
+        n = np.zeros((side, side, side))
+        n[tuple(self.place[triples])] = counts
+        one = (n.sum(axis=(0, 1)) + 1 / 256) / (n.sum() + 1)
+        two = (n.sum(axis=0) + one) / (n.sum(axis=(0, 2))[:, None] + 1)
+        self.log = np.log((n + two) / (n.sum(axis=2)[:, :, None] + 1)).astype(np.float32).ravel()
+
+    def log_probs(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        (a, b, c), sizes = spelled(raw, starts, ends)
+        logs = self.log[(self.place[a] * self.side + self.place[b]) * self.side + self.place[c]]
+        return np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 class Network:
-    SHAPES = {"e": (len(OFFSETS), VOCABULARY, WIDTH), "c": (CLASSES, WIDTH), "bc": (CLASSES,), "u": (MEMBERS, WIDTH), "bu": (CLASSES, MEMBERS)}
-    SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
-
     def __init__(self, vocabulary: np.ndarray, flat: np.ndarray | None = None):
         """vocabulary: word hashes, the most frequent first."""
+        self.side = side = max(CLASSES, math.ceil(math.sqrt(len(vocabulary) + RARE + 1)))
+        self.shapes = {"e": (len(OFFSETS), side * side, WIDTH), "c": (side, WIDTH), "bc": (side,), "u": (side, WIDTH), "bu": (side, side)}
         self.order = np.argsort(vocabulary)
         self.known = vocabulary[self.order]
         if flat is None:
-            flat = np.random.default_rng(3).normal(0, 0.1, self.SIZE).astype(np.float32)
+            flat = np.random.default_rng(3).normal(0, 0.1, sum(math.prod(s) for s in self.shapes.values())).astype(np.float32)
         at = 0
-        for name, shape in self.SHAPES.items():
+        for name, shape in self.shapes.items():
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape).astype(np.float32))
             at += n
-        self.past = {k: np.full(s, 1e-6, np.float32) for k, s in self.SHAPES.items()}
+        self.past = {k: np.full(s, 1e-6, np.float32) for k, s in self.shapes.items()}
+        self.slot = np.zeros(len(OFFSETS) * side * side, np.int64)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k in self.SHAPES])
+        return np.concatenate([getattr(self, k).ravel() for k in self.shapes])
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         rare = (hashes % np.uint64(RARE)).astype(np.int64) + 1
@@ -85,7 +148,7 @@ class Network:
 
     def forward(self, context: np.ndarray, target: np.ndarray):
         h = np.tanh(sum(self.e[j][context[j]] for j in range(len(OFFSETS))))
-        k, m = target // MEMBERS, target % MEMBERS
+        k, m = target // self.side, target % self.side
         return h, k, m, _softmax(h @ self.c.T + self.bc), _softmax(h @ self.u.T + self.bu[k])
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -99,24 +162,29 @@ class Network:
         n, rows = len(target), np.arange(len(target))
         pk[rows, k] -= 1
         pm[rows, m] -= 1
-        one = np.zeros((n, CLASSES), np.float32)
+        one = np.zeros((n, self.side), np.float32)
         one[rows, k] = 1
         dx = (pk @ self.c + pm @ self.u) * (1 - h * h) / n
-        dims = np.arange(WIDTH)
-        grads = {
-            "e": np.stack([
-                np.bincount((context[j][:, None] * WIDTH + dims).ravel(), dx.ravel(), VOCABULARY * WIDTH).reshape(VOCABULARY, WIDTH)
-                for j in range(len(OFFSETS))
-            ]).astype(np.float32),
-            "c": pk.T @ h / n, "bc": pk.mean(axis=0), "u": pm.T @ h / n, "bu": one.T @ pm / n,
-        }
+        grads = {"c": pk.T @ h / n, "bc": pk.mean(axis=0), "u": pm.T @ h / n, "bu": one.T @ pm / n}
         for name, g in grads.items():
             self.past[name] += g * g
             setattr(self, name, getattr(self, name) - rate * g / np.sqrt(self.past[name]))
-
-
-def vocabulary(docs: DataFrame, text_col: str = "text", most: int = VOCABULARY - RARE - 1) -> np.ndarray:
-    """Hashes of the most frequent words of all documents; counts combine before the shuffle."""
+        # Only the embeddings of the batch's ids have a gradient.
+        used = (context + self.side * self.side * np.arange(len(OFFSETS))[:, None]).ravel()
+        flags = np.zeros(len(self.slot), bool)
+        flags[used] = True
+        touched = np.flatnonzero(flags)
+        self.slot[touched] = np.arange(len(touched))
+        cells = (self.slot[used][:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        g = np.bincount(cells, np.tile(dx.ravel(), len(OFFSETS)), len(touched) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+        e, past = self.e.reshape(-1, WIDTH), self.past["e"].reshape(-1, WIDTH)
+        past[touched] += g * g
+        e[touched] -= rate * g / np.sqrt(past[touched])
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", least: int = VOCABULARY - RARE - 1) -> np.ndarray:
+    """Hashes of all words that occur at least sqrt(tokens) / RULE times, the most frequent first, or of the ``least``
+    most frequent where those are more; counts combine before the shuffle."""
 
     def count(batches):
         for batch in batches:
@@ -126,7 +194,12 @@ def vocabulary(docs: DataFrame, text_col: str = "text", most: int = VOCABULARY -
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counted.orderBy(F.desc("c"), "h").limit(most).collect()
+    counted = cut(counted, "word_counts")
+    total = counted.agg(F.sum("c")).first()[0] or 0
+    top = counted.where(F.col("c") >= math.sqrt(total) / RULE).collect()
+    if len(top) < least:
+        top = counted.orderBy(F.desc("c"), "h").limit(least).collect()
+    top.sort(key=lambda r: (-r["c"], r["h"]))
     return np.array([r["h"] for r in top], np.int64).view(np.uint64)
 
 
@@ -137,11 +210,11 @@ def train(docs: DataFrame, text_col: str = "text", batch_size: int = 4096, rate:
     What is shuffled is one set of weights a task, so it grows with the input; what
     comes to the driver is one set.
     """
-    words = vocabulary(docs, text_col)
-    start = docs.sparkSession.sparkContext.broadcast(Network(words).flat())
+    known = vocabulary(docs, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def local(batches):
-        net, seen = Network(words, start.value), 0
+        net, seen = Network(shared.value), 0
         for batch in batches:
             for a, b in stretches(batch.column("text")):
                 hashes, lengths = tokens(batch.column("text").slice(a, b - a))
@@ -152,37 +225,65 @@ def train(docs: DataFrame, text_col: str = "text", batch_size: int = 4096, rate:
                     some = order[lo : lo + batch_size]
                     net.step(context[:, some], ids[some], rate)
                 seen += len(ids)
-        if seen:
-            flat = net.flat().astype(np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], ["i", "v", "w"]
-            )
+        flat = net.flat()
+        for lo in range(0, len(flat) if seen else 0, BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([flat[lo : lo + BLOCK].tobytes()]), pa.array([float(seen)])], ["i", "v", "w"])
+
+    def average(parts):
+        total = sum(np.frombuffer(v, np.float32) * w for v, w in zip(parts["v"], parts["w"], strict=True))
+        return pd.DataFrame({"i": parts["i"].iloc[:1], "v": [(total / parts["w"].sum()).astype(np.float32).tobytes()]})
+
+    blocks = docs.select(F.col(text_col).alias("text")).mapInArrow(local, "i long, v binary, w double").groupBy("i")
+    flat = Network(known).flat()
+    for r in blocks.applyInPandas(average, "i long, v binary").collect():
+        flat[r["i"] : r["i"] + BLOCK] = np.frombuffer(r["v"], np.float32)
+    return Network(known, flat)
+
 
-    sums = docs.select(F.col(text_col).alias("text")).mapInArrow(local, "i int, v double, w double").groupBy("i").agg(
-        (F.sum("v") / F.sum("w")).alias("v")
-    ).toPandas()
-    flat = start.value.copy()
-    flat[sums["i"].to_numpy()] = sums["v"].to_numpy()
-    return Network(words, flat)
+def spell(docs: DataFrame, net: Network, text_col: str = "text") -> Spelling:
+    """The spelling of all words outside the network's vocabulary, from every place where they occur."""
+    shared = docs.sparkSession.sparkContext.broadcast(net.known)
 
+    def count(batches):
+        n, own = np.zeros(1 << 24, np.int64), Network(shared.value)
+        for batch in batches:
+            for a, b in stretches(batch.column("text")):
+                raw, starts, ends, _ = words(batch.column("text").slice(a, b - a))
+                rare = own.ids(word_hashes(raw, starts, ends)) <= RARE
+                (x, y, z), _ = spelled(raw, starts[rare], ends[rare])
+                np.add.at(n, (x.astype(np.int64) << 16) | (y.astype(np.int64) << 8) | z, 1)
+        codes = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n[codes])], ["i", "n"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    return Spelling(found["i"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
 
-def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", chunk: int = 16_384) -> DataFrame:
+
+def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", chunk: int = 16_384, spelling: Spelling | None = None) -> DataFrame:
     """``doc_id, n_tokens, log_prob, mean_log_prob``: the summed conditional log-probabilities of whole texts.
 
+    With ``spelling``, a word outside the vocabulary has the probability of its shared id
+    times its own among the id's words, of which each id has 1 / RARE by hash; without, all
+    words of a shared id score alike.
+
     Defined cases: null and wordless texts have no tokens, a sum of 0 and a null
     mean. Repeated rows each get the same score; null ids stay; further columns are
     ignored. Without any documents the network stays as it starts and there are no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((net.known[np.argsort(net.order)], net.flat()))
+    shared = docs.sparkSession.sparkContext.broadcast((net.known[np.argsort(net.order)], net.flat(), spelling))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        own = Network(*shared.value)
+        *weights, spelling = shared.value
+        own = Network(*weights)
         for batch in batches:
             for a, b in stretches(batch.column("text"), 1_000_000):
-                hashes, lengths = tokens(batch.column("text").slice(a, b - a))
-                ids = own.ids(hashes)
+                raw, starts, ends, lengths = words(batch.column("text").slice(a, b - a))
+                ids = own.ids(word_hashes(raw, starts, ends))
                 context = own.context(ids, lengths)
                 sums = np.concatenate([[0.0], *(own.log_probs(context[:, lo : lo + chunk], ids[lo : lo + chunk]) for lo in range(0, len(ids), chunk))])
+                if spelling:
+                    rare = np.flatnonzero(ids <= RARE)
+                    sums[1 + rare] += spelling.log_probs(raw, starts[rare], ends[rare]) + math.log(RARE)
                 owner = np.repeat(np.arange(b - a), lengths)
                 total = np.bincount(owner, sums[1:], b - a).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
@@ -197,4 +298,5 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
 def op1_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs))
+    net = train(docs)
+    return score(docs, net, spelling=spell(docs, net))

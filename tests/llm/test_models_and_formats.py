@@ -211,6 +211,27 @@ def test_lm_edges(spark):
     assert lm_score.score(empty_docs(spark), lm_score.train(empty_docs(spark))).count() == 0
 
 
+def test_lm_vocabulary_grows_and_rare_words_score_apart(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 2, 3000, 2))) for i in range(60)], "doc_id long, text string")
+    assert len(lm_score.vocabulary(docs)) == 3000
+    net = lm_score.Network(lm_score.vocabulary(docs))
+    ids = net.ids(lm_score.tokens(pa.array([" ".join(f"w{j}" for j in range(3000))]))[0])
+    assert len(set(ids)) == 3000 and ids.min() > lm_score.RARE
+    total = np.exp(net.log_probs(np.zeros((4, net.side**2), np.int64), np.arange(net.side**2))).sum()
+    assert abs(total - 1) < 1e-3
+
+    bucket = lambda w: int(lm_score.tokens(pa.array([w]))[0][0] % lm_score.RARE)
+    odd = next(w for i in range(10**6) if bucket(w := f"#~{i}") == bucket("banana"))
+    net = lm_score.Network(np.zeros(0, np.uint64))
+    corpus = spark.createDataFrame([(1, "Banana bandana ban"), (2, odd)], "doc_id long, text string")
+    words = spark.createDataFrame([(1, "banana"), (2, odd), (3, "BANANA")], "doc_id long, text string")
+    spelling = lm_score.spell(corpus.where("doc_id = 1"), net)
+    got = {r["doc_id"]: r["log_prob"] for r in lm_score.score(words, net, spelling=spelling).collect()}
+    assert got[1] == got[3] > got[2] + 5
+    probs = np.exp(spelling.log.reshape([spelling.side] * 3))
+    assert np.allclose(probs[:, :, :-1].sum(axis=2) + (257 - spelling.side) * probs[:, :, -1], 1, atol=1e-4)
+
+
 def brute_near(docs, percent):
     """doc ids and texts to (n, component, kept), by all pairs."""
     import re
