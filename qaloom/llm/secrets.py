@@ -7,6 +7,7 @@ in numpy from labelled findings.
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 _CHARS = r"A-Za-z0-9+/_=\-"
-CANDIDATE = re.compile(rf"(?<![{_CHARS}])(?=[{_CHARS}]{{0,255}}[0-9])(?=[{_CHARS}]{{0,255}}[A-Za-z])[{_CHARS}]{{16,256}}(?![{_CHARS}])")
+#: Runs of any length; what such a run lacks (digits, letters) the forest sees.
+CANDIDATE = re.compile(rf"(?<![{_CHARS}])[{_CHARS}]{{16,}}")
+ALNUM = re.compile(r"[A-Za-z0-9]")
 # Words that speak for and against a secret nearby, and a small dictionary.
 FOR = frozenset("token key secret password passwd pwd apikey api_key access_key secret_key auth bearer credential credentials private".split())
 AGAINST = frozenset(
@@ -32,8 +35,17 @@ DICTIONARY = frozenset(
     "the and for you with this that from have your not are was but all can will one out about which when make like time just know take people into year good some could them see other than then now look only come its over think also back after use two how our work first well way even new want because any these give day most user name value string data file path index image test example config default service client server request response object list item number code page html json http https www com org net".split()
 )
 WORD = re.compile(r"[A-Za-z_]+")
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NAMES = "|".join(sorted(FOR, key=len, reverse=True))
+#: A name that ends in a FOR word, also as in DB_PASSWORD and apiToken, before its sign of assignment.
+NAME = re.compile(rf"(?:(?<![A-Za-z])(?i:{_NAMES})|(?<=[a-z])(?:{'|'.join(sorted((w.title() for w in FOR), key=len, reverse=True))}))[0-9]*[\"'`\]]*\s*$")
+SIGN = re.compile(r"(?<![=:])[=:]")
+VALUE = re.compile(r"""[=:>]*\s*(?:"((?:\\.|[^"\\\n])+)"|'((?:\\.|[^'\\\n])+)'|`([^`\n]+)`|["'`]?([^\s"'`]+))""")
 NAMES = ("length", "entropy", "class_changes", "transition", "digits", "upper", "hex", "coverage", "slashes", "in_path", "for", "against", "assigned", "quoted", "repeats")
 
+#: A value inside another, as in the parameters of a link.
+PART = re.compile(r"""[=:>]*["'`]?([^\s"'`&;,|?]+)""")
+
 
 def _transitions() -> np.ndarray:
     """Log-probabilities of letter pairs in the dictionary's words, smoothed."""
@@ -48,30 +60,66 @@ def _transitions() -> np.ndarray:
 _LOG = _transitions()
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans that may be secrets, in order: values of any length assigned to a FOR word, and runs of 16 or more.
+
+    A run is split where an equals sign stands before something else, as in NAME=value
+    but not in base64 padding; where that leaves no part of 16, it stays whole unless
+    an assigned value lies in it.
+    """
+    found, outer, inner = set(), 0, 0
+    for m in SIGN.finditer(text):
+        if m.start() < inner or not NAME.search(text[max(0, m.start() - 64) : m.start()]):
+            continue
+        nested = m.start() < outer
+        if v := (PART if nested else VALUE).match(text, m.end()):
+            a, b = v.span(v.lastindex)
+            outer, inner = (outer, b) if nested else (b, 0)
+            if v.lastindex in (1, 4) and text[a - 1] not in "\"'`":
+                b = a + len(text[a:b].rstrip(".,;:")) or b
+            if a < b and ALNUM.search(text, a, b):
+                found.add((a, b))
+    assigned = sorted(found)
+    for m in CANDIDATE.finditer(text):
+        parts, at = [], m.start()
+        for cut in re.finditer(r"(?<!=)=+(?=[^=])", m.group()):
+            parts.append((at, m.start() + cut.start()))
+            at = m.start() + cut.end()
+        parts = [(a, b) for a, b in [*parts, (at, m.end())] if b - a >= 16]
+        if not parts:
+            k = bisect.bisect_left(assigned, (m.start(), 0))
+            parts = [] if k < len(assigned) and assigned[k][0] < m.end() else [m.span()]
+        found.update((a, b) for a, b in parts if ALNUM.search(text, a, b))
+    return sorted(found, key=lambda x: (x[0], -x[1]))
+
+
 def features(text: str, start: int, end: int) -> list[float]:
     s = text[start:end]
     n, low, counts = len(s), s.lower(), Counter(s)
     kinds = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in s]
     codes = [ord(c) - 97 if "a" <= c <= "z" else 26 for c in low]
     covered = sum(len(w) for w in re.findall(r"[a-z]{3,}", low) if w in DICTIONARY)
-    covered += sum(len(w) for w in re.findall(r"[A-Z]?[a-z]{2,}", s) if w.lower() in DICTIONARY and w.lower() not in low.split("_"))
+    parts = set(low.split("_"))
+    covered += sum(len(w) for w in re.findall(r"[A-Z]?[a-z]{2,}", s) if w.lower() in DICTIONARY and w.lower() not in parts)
     before, after = text[max(0, start - 48) : start], text[end : end + 24]
-    near = [w.lower() for w in WORD.findall(before)[-3:]]
+    last = WORD.findall(before)[-3:]
+    near = [w.lower() for w in last]
+    named = [*near, *(x.lower() for w in last for x in PIECE.findall(w))]
     return [
         float(n),
         -sum(k / n * math.log2(k / n) for k in counts.values()),
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
-        float(np.mean(_LOG[codes[:-1], codes[1:]])),
+        float(np.mean(_LOG[codes[:-1], codes[1:]])) if n > 1 else 0.0,
         kinds.count(0) / n,
         kinds.count(2) / n,
         float(all(c in "0123456789abcdefABCDEF-" for c in s)),
         min(1.0, covered / n),
         s.count("/") / n,
         float(bool(re.search(r"(://|[\\/.@])\S*$", before)) or after[:1] in "./@" and bool(after)),
-        float(any(w in FOR for w in near)),
+        float(any(w in FOR for w in named)),
         float(any(w in AGAINST for w in near) or any(w in AGAINST for w in re.findall(r"[a-z]{4,}", low))),
-        float(bool(re.search(r"[=:]\s*[\"']?$", before))),
-        float(before[-1:] in "\"'" and bool(before)),
+        float(bool(re.search(r"[=:][=>]?\s*[\"'`]?$", before))),
+        float(before[-1:] in "\"'`" and bool(before)),
         1 - len(counts) / n,
     ]
 
@@ -151,25 +199,53 @@ def labelled_findings(n: int = 2000, seed: int = 17) -> list[tuple[str, int, int
     hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
     mixed = lambda k: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-") for _ in range(k))
     some = lambda k: [rng.choice(words) for _ in range(k)]
+    letters = lambda k: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    spoken = lambda k: "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(k))
+    phrase = lambda: rng.choice([rng.choice(words), " ".join(some(rng.randint(2, 6))), spoken(rng.randint(2, 6)), rng.choice(words).title() + ","])
+    password = lambda: rng.choice([
+        rng.choice(words).title() + rng.choice("!@#$%&*?") + digits(rng.randint(2, 5)), spoken(2) + digits(rng.randint(1, 5)),
+        "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789!@#$%&*") for _ in range(rng.randint(6, 15))), letters(rng.randint(8, 15)),
+    ])
     out = []
-    for i in range(n):
-        secret = i % 2 == 0
+    while len(out) < n:
+        secret = len(out) % 2 == 0
         if secret:
-            value = rng.choice([hexes(40), hexes(32), hexes(64), "AKIA" + mixed(16).upper().replace("/", "7"), "ghp_" + mixed(36), mixed(rng.randint(20, 64))])
+            value = rng.choice([
+                hexes(40), hexes(32), hexes(64), "AKIA" + mixed(16).upper().replace("/", "7"), "ghp_" + mixed(36), mixed(rng.randint(20, 64)),
+                mixed(rng.randint(257, 2500)), mixed(rng.randint(60, 400)) + "==", letters(rng.randint(16, 40)), digits(rng.randint(4, 30)), password(), password(),
+            ])
             name = rng.choice(sorted(FOR))
-            lead = rng.choice([f'{name} = "', f"{name}: ", f"{name}='", f"{name.upper()}=", f"{name} "])
+            name = rng.choice([name, name, rng.choice(words) + "_" + name])
+            leads = [f'{name} = "', f"{name}: ", f"{name}='", f"{name.upper()}="]
+            lead = rng.choice([*leads, f"{name} "] if len(value) >= 16 else leads)
         else:
-            kind = rng.randrange(6)
+            kind = rng.randrange(11)
             value = [
                 hexes(40), f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", "/".join(some(4)) + str(rng.randint(1, 99)),
                 "_".join(some(4)) + str(rng.randint(1, 9)), "".join(w.title() for w in some(4)) + str(rng.randint(1, 999)), "example_" + hexes(24),
+                spoken(rng.randint(8, 14)), digits(rng.randint(16, 30)), phrase(), mixed(rng.randint(60, 2500)), "-".join(some(rng.randint(4, 90))),
+            ][kind]
+            bad, name = rng.choice(sorted(AGAINST)), rng.choice(sorted(FOR))
+            lead = [
+                f"{bad} ", f"{bad}: ", "https://www.host.com/", "call ", "class ", rng.choice(["token = ", "key: "]), "", rng.choice(["number ", f"{bad} ", ""]),
+                rng.choice([f"{name}: ", f'{name} = "']), "data:image/png;base64,", rng.choice(["", "see "]),
             ][kind]
-            bad = rng.choice(sorted(AGAINST))
-            lead = [f"{bad} ", f"{bad}: ", "https://www.host.com/", "call ", "class ", rng.choice(["token = ", "key: "])][kind]
         head = " ".join(some(rng.randint(0, 6))) + " " + lead
-        if not CANDIDATE.search(value):
-            value = hexes(15) + "a1" + value[:8].replace("/", "") if secret else value + "x1" * 8
-        out.append((head + value + rng.choice(['" ', " ", ". ", "\n"]) + " ".join(some(3)), len(head), len(head) + len(value), secret))
+        close = lead[-1:] if lead[-1:] in {'"', "'"} else ""
+        text = head + value + (close or rng.choice(['" ', " ", ". ", "\n"])) + " " + " ".join(some(3))
+        spans = [(a, b) for a, b in candidates(text) if a < len(head) + len(value) and b > len(head)]
+        if spans:
+            out.append((text, *spans[0], secret))
+    return out
+
+
+def outermost(findings: list[dict]) -> list[dict]:
+    """Findings, in order of their start, without those that lie inside an earlier one."""
+    out: list[dict] = []
+    for f in findings:
+        if not out or f["end"] > out[-1]["end"]:
+            out.append(f)
     return out
 
 
@@ -179,9 +255,10 @@ FOUND = "doc_id long, n_candidates long, findings array<struct<start:long,end:lo
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``doc_id, n_candidates, n_secrets, findings`` of every whole text.
 
-    A candidate is a run of 16 to 256 of ``A-Za-z0-9+/_=-`` with a letter and a
-    digit; findings are those the forest gives at least ``threshold``, with their
-    offsets in code points and scores.
+    A candidate is a run of 16 or more of ``A-Za-z0-9+/_=-`` (see ``candidates``) or a
+    value of any length and signs that is assigned to a word such as password; findings are those
+    the forest gives at least ``threshold``, with their offsets in code points and scores.
+    Of findings inside each other the outermost is given.
 
     Defined cases: null and empty texts have no candidates. Repeated rows and null
     ids each get a row, equal secrets each a finding; further columns are ignored. No rows, no rows.
@@ -190,10 +267,10 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            spans = [[m.span() for m in CANDIDATE.finditer(t)] if t else [] for t in batch["text"]]
+            spans = [candidates(t) if t else [] for t in batch["text"]]
             x = [features(t, a, b) for t, own in zip(batch["text"], spans, strict=True) for a, b in own]
             scores = iter(shared.value.predict(np.array(x)).tolist() if x else [])
-            found = [[{"start": a, "end": b, "score": s} for (a, b), s in [(span, next(scores)) for span in own] if s >= threshold] for own in spans]
+            found = [outermost([{"start": a, "end": b, "score": s} for (a, b), s in [(span, next(scores)) for span in own] if s >= threshold]) for own in spans]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_candidates": [len(s) for s in spans], "findings": found})
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -184,6 +184,23 @@ def test_secret_scan_edges(spark):
     assert secrets.scan(empty_docs(spark), forest).count() == 0
 
 
+def test_secrets_of_any_length_and_kind(spark):
+    rng = random.Random(4)
+    some = lambda k, of: "".join(rng.choice(of) for _ in range(k))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    cases = [
+        ('private_key = "', some(1700, mixed) + "==", '" end'), ("password: ", "hunter2", " end"), ("DB_PASSWORD=", "xK9$w!qZ", "\nend"),
+        ('secret = "', some(24, mixed[:52]), '"'), ("token: ", some(20, "0123456789"), " end"), ("SECRET_KEY=", some(40, mixed), " end"),
+    ]
+    rows = [(i, f"see {lead}{value}{tail}", len(lead) + 4, len(lead) + 4 + len(value)) for i, (lead, value, tail) in enumerate(cases)]
+    plain = ["the password: your name and then this", "an internationalisation of value", "order number 12345678901234567890", "key: the", "-" * 40, "=" * 40]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(100 + i, t) for i, t in enumerate(plain)], "doc_id long, text string")
+    out = {r["doc_id"]: [(f["start"], f["end"]) for f in r["findings"]] for r in secrets.scan(docs, secrets.train(secrets.labelled_findings())).collect()}
+    assert out == {**{r[0]: [r[2:]] for r in rows}, **{100 + i: [] for i in range(len(plain))}}
+    assert secrets.candidates("x " + "aZ" * 500) == [(2, 1002)]
+    assert all((a, b) in secrets.candidates(t) for t, a, b, _ in secrets.labelled_findings(200))
+
+
 def test_lm_probabilities_sum_to_one_and_match_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     net = lm_score.train(docs)
