@@ -25,6 +25,8 @@ UNKNOWN = "und"
 #: ASCII other than letters becomes a space, once A-Z is lower-cased.
 _PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 SIZES, DIMS = (1, 2, 3), 4096
+#: Lengths in bytes at which training texts are measured for the rejection limits; the first is one word.
+LENGTHS = (1, 8, 16, 32, 64, 128, 256, 512, 1024)
 
 
 def counts(texts: Sequence[str], dims: int = DIMS) -> np.ndarray:
@@ -54,20 +56,28 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     langs: tuple[str, ...]
+    #: The lowest limit, and the limits of texts with so many distinct n-grams.
     reject_below: float
-
-    def vectors(self, texts: Sequence[str]) -> np.ndarray:
-        v = np.log1p(counts(texts, len(self.idf)).astype(np.float32)) * self.idf
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    limits: tuple[tuple[float, ...], tuple[float, ...]] = ((1.0,), (0.0,))
+
+    def judge(self, texts: Sequence[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, cosine and whether the cosine is below the limit of texts of as many distinct n-grams,
+        so that a repeated word counts as a short text."""
+        n = counts(texts, len(self.idf))
+        v = np.log1p(n.astype(np.float32)) * self.idf
+        cos = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) @ self.centroids.T
+        best = cos.argmax(axis=1)
+        score = np.clip(cos[np.arange(len(best)), best], 0.0, 1.0)
+        far = score < np.interp(np.log((n > 0).sum(axis=1) + 1), np.log(np.array(self.limits[0]) + 1), self.limits[1])
+        return [self.langs[i] for i in best], score, far
 
     def predict(self, texts: Sequence[str]) -> tuple[list[str], np.ndarray]:
-        cos = self.vectors(texts) @ self.centroids.T
-        best = cos.argmax(axis=1)
-        return [self.langs[i] for i in best], np.clip(cos[np.arange(len(best)), best], 0.0, 1.0)
+        return self.judge(texts)[:2]
 
 
 def fit(texts: Sequence[str], langs: Sequence[str], clusters: int = 4, rounds: int = 12, seed: int = 5) -> Model:
-    """Train on labelled texts. The rejection limit lies well below the similarity of any but freak training texts."""
+    """Train on labelled texts. The rejection limits follow the length: at each of LENGTHS the
+    0.1% quantile of the cosines of training texts cut to that length at the end of a word."""
     rows = [i for i, t in enumerate(texts) if t and langs[i] is not None and LETTER.search(t)]
     texts, langs = [texts[i] for i in rows], [langs[i] for i in rows]
     if not texts:
@@ -87,8 +97,28 @@ def fit(texts: Sequence[str], langs: Sequence[str], clusters: int = 4, rounds: i
         centres.append(c)
         names += [lang] * len(c)
     c = np.concatenate(centres).astype(np.float32)
-    best = (v @ c.T).max(axis=1)
-    return Model(idf, c, tuple(names), float(0.3 * np.quantile(best, 0.001)))
+    model = Model(idf, c, tuple(names), 0.0)
+    sizes, limits = [], []
+    for length in LENGTHS:
+        part = [x for t in texts if (x := beginning(t, length)) and LETTER.search(x)]
+        if not part:
+            continue
+        some = [part[i : i + 256] for i in range(0, len(part), 256)]
+        sizes.append(float(np.median(np.concatenate([(counts(x) > 0).sum(axis=1) for x in some]))))
+        limits.append(float(np.quantile(np.concatenate([model.predict(x)[1] for x in some]), 0.001)))
+    # Longer texts have no lower limits than shorter ones.
+    sizes, limits = np.maximum.accumulate(sizes), np.maximum.accumulate(limits)
+    return Model(idf, c, tuple(names), float(limits[0]), (tuple(sizes.tolist()), tuple(limits.tolist())))
+
+
+def beginning(text: str, length: int) -> str | None:
+    """The first words of a text, up to the one that reaches ``length`` bytes; none if the text is shorter."""
+    size = 0
+    for m in re.finditer(r"\S+", text):
+        size += len(m.group().encode("utf-8", "replace")) + 1
+        if size >= length:
+            return text[: m.end()]
+    return None
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, max_langs: int) -> DataFrame:
@@ -130,7 +160,7 @@ def identify(
     """``doc_id, lang_pred, score, rejected`` of every whole text, and the columns in ``carry``.
 
     ``score`` is the cosine with the nearest centroid; ``rejected`` marks texts
-    below the model's limit or of no language at all. Prediction reads the text alone.
+    below the model's limit for their length or of no language at all. Prediction reads the text alone.
 
     Defined cases: a null text, one without a letter, or a model without
     languages gives 'und', score 0, rejected. Equal cosines go to the first
@@ -150,13 +180,11 @@ def identify(
                     part = batch.slice(lo, min(b, lo + 512) - lo)
                     words = part.column("_text").to_pylist()
                     good = [i for i, t in enumerate(words) if t and LETTER.search(t)] if own.langs else []
-                    langs, score = [UNKNOWN] * len(words), np.zeros(len(words))
+                    langs, score, far = [UNKNOWN] * len(words), np.zeros(len(words)), np.ones(len(words), bool)
                     if good:
-                        found, cos = own.predict([words[i] for i in good])
+                        found, score[good], far[good] = own.judge([words[i] for i in good])
                         for i, lang in zip(good, found, strict=True):
                             langs[i] = lang
-                        score[good] = cos
-                    far = [x == UNKNOWN or s < own.reject_below for x, s in zip(langs, score, strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [part.column(f.name) for f in others] + [pa.array(langs, pa.string()), pa.array(score), pa.array(far)],
                         [f.name for f in others + added],

@@ -149,3 +149,25 @@ def test_language_id_learns_only_from_the_rest(spark):
     assert ids and all(zlib.crc32(str(i).encode()) % 5 for i in ids)
     few = langid.training_rows(docs, "doc_id", "text", "lang", 5, 64).groupBy("lang").count().collect()
     assert all(r["count"] <= 5 for r in few)
+
+
+def test_long_texts_of_an_unlearned_language_are_rejected(spark):
+    from qaloom.llm import langid
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs)
+    finnish = (
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, "
+        "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa "
+        "esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista rotuun, väriin, sukupuoleen tai kieleen perustuvaa erotusta. "
+    )
+    polish = (
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem "
+        "i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności zawarte w niniejszej "
+        "deklaracji bez względu na różnice rasy, koloru, płci, języka, wyznania, poglądów politycznych i innych przekonań. "
+    )
+    assert model.judge([finnish, polish, finnish * 5])[2].all()
+    texts = [r["text"] for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").collect() if langid.LETTER.search(r["text"])]
+    assert model.judge(texts)[2].mean() < 0.01
+    words = [t.split()[0] for t in texts[:500] if langid.LETTER.search(t.split()[0])]
+    assert model.judge(words)[2].mean() < 0.02
