@@ -122,8 +122,10 @@ def beginning(text: str, length: int) -> str | None:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, max_langs: int) -> DataFrame:
-    """Whole labelled texts of non-held-out documents: at most ``per_lang`` of each of ``max_langs`` languages.
+    """Whole labelled texts of non-held-out documents: at most ``per_lang`` of every language.
 
+    Where there are more than ``max_langs`` languages, each has fewer, so that the total
+    stays at per_lang x max_langs, but one at least; no language is left out.
     Chosen by hash of the id. The ranks cut each task's rows to ``per_lang`` a
     language before anything is shuffled, and texts are fetched by a join with
     the chosen ids, so what is sorted or sent stays small and bounded.
@@ -133,10 +135,11 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang")
     )
+    langs = labelled.select("lang").distinct().count()
+    per_lang = max(1, min(per_lang, per_lang * max_langs // max(1, langs)))
     ranks = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     picked = labelled.withColumn("r", F.row_number().over(ranks)).where(F.col("r") <= per_lang).select("id", "lang")
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
-    ids = F.broadcast(picked.join(F.broadcast(common), "lang").select(F.col("id").alias("_picked")).distinct())
+    ids = F.broadcast(picked.select(F.col("id").alias("_picked")).distinct())
     return docs.join(ids, docs[id_col] == ids["_picked"], "left_semi").where(F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )

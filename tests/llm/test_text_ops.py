@@ -171,3 +171,14 @@ def test_long_texts_of_an_unlearned_language_are_rejected(spark):
     assert model.judge(texts)[2].mean() < 0.01
     words = [t.split()[0] for t in texts[:500] if langid.LETTER.search(t.split()[0])]
     assert model.judge(words)[2].mean() < 0.02
+
+
+def test_every_language_is_learned(spark):
+    from qaloom.llm import langid
+
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(100 * k + i, f"{alphabet[k] * 3}{alphabet[i]} {alphabet[k] * 2}{alphabet[-k]}", f"l{k:02}") for k in range(10) for i in range(26 if k else 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.train(docs, per_lang=20, max_langs=4).langs) == {f"l{k:02}" for k in range(10)}
+    found = langid.training_rows(docs, "doc_id", "text", "lang", 20, 4).groupBy("lang").count().collect()
+    assert len(found) == 10 and all(r["count"] == 8 for r in found)
