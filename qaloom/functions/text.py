@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ CHAPTER = r"(?Uim)^Chapter\s+(\d+)[:\.]?\s+(.+)$"
 CONCEPT_DEFINED = r"(?U)([A-Z][a-z\w\s]+?)\s+(?:is defined as|means|refers to)"
 CONCEPT_LAW = r"(?U)((?:Theorem|Law|Principle|Rule)\s+of\s+[A-Z][a-z\w\s]+)"
 
+_HITS = pa.list_(pa.struct([("position", pa.int32()), ("text", pa.string()), ("before", pa.string()), ("after", pa.string())]))
+
 
 def strip(c: Column) -> Column:
     """Python's str.strip(): white space is Unicode white space."""
@@ -58,20 +61,24 @@ def concepts(c: Column) -> Column:
 
 
 def keyword_hits(text: Column, keyword: Column, context: int = 50) -> Column:
-    """Overlapping case-insensitive matches: position (from 0), match, and clipped context on both sides."""
-    low, k, n = F.lower(text), F.lower(keyword), F.length(keyword)
-    starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(low, i, n) == k
-    )
-    return F.transform(
-        F.when(F.contains(low, k) & (n > 0), starts).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(
-            (i - 1).alias("position"),
-            F.substring(text, i, n).alias("text"),
-            F.substring(text, F.greatest(i - context, F.lit(1)), F.least(i - 1, F.lit(context))).alias("before"),
-            F.substring(text, i + n, F.lit(context)).alias("after"),
-        ),
-    )
+    """Overlapping case-insensitive matches: position (from 0), match, and clipped context on both sides.
+
+    Each search starts behind the last hit and slices are taken by index, so the work is linear in the text and its hits;
+    SQL's substring would walk the text from its start for every hit.
+    """
+
+    def hits(t: str | None, k: str | None) -> list[dict] | None:
+        if t is None or k is None:
+            return None
+        low, wanted, n, found, at = t.lower(), k.lower(), len(k), [], -1
+        while wanted and (at := low.find(wanted, at + 1)) >= 0:
+            found.append({"position": at, "text": t[at : at + n], "before": t[max(0, at - context) : at], "after": t[at + n : at + n + context]})
+        return found
+
+    def run(texts: pa.Array, words: pa.Array) -> pa.Array:
+        return pa.array([hits(t, k) for t, k in zip(texts.to_pylist(), words.to_pylist(), strict=True)], _HITS)
+
+    return F.arrow_udf(run, "array<struct<position:int,text:string,before:string,after:string>>")(text, keyword)
 
 
 def header(chapter: Column, section: Column, title: Column, texts: Column) -> Column:
