@@ -9,6 +9,7 @@ from __future__ import annotations
 import difflib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -18,21 +19,54 @@ from pyspark.sql import types as T
 
 
 def best_window_ratio(page: str, quote: str) -> tuple[float, str]:
-    """The best difflib ratio of a quote with any window of its length; the first best wins."""
-    low, wanted = page.lower(), quote.lower()
-    if wanted in low:
-        at = low.find(wanted)
-        return 1.0, page[at : at + len(quote)]
+    """The best difflib ratio of a quote with any window of its length; the first best wins.
+
+    Windows are cut from the page as it is and lower-cased each, since lower-casing can lengthen a text. How many
+    characters a window shares with the quote, kept up to date as it slides, bounds its ratio; difflib compares only
+    windows whose bound exceeds the best so far, in order, so its result is that of comparing all.
+    """
+    wanted, size = quote.lower(), len(quote)
+    if not wanted:
+        return 1.0, ""
+    if size > len(page):
+        return 0.0, ""
     best, found = 0.0, ""
     matcher = difflib.SequenceMatcher(None)
-    for i in range(len(low) - len(wanted) + 1):
-        # The order of the sequences and the fresh matcher matter for ties inside difflib.
-        matcher.set_seqs(wanted, low[i : i + len(wanted)])
-        if matcher.real_quick_ratio() <= best or matcher.quick_ratio() <= best:
+    lows = [c.lower() for c in page]
+    spare = Counter(wanted)  # what of the quote the window at hand lacks; negative where it has more
+    shared, length, sigma = 0, 0, "\u03a3" in page
+
+    def enter(low: str) -> None:
+        nonlocal shared, length
+        for c in low:
+            shared += spare[c] > 0
+            spare[c] -= 1
+            length += 1
+
+    def leave(low: str) -> None:
+        nonlocal shared, length
+        for c in low:
+            spare[c] += 1
+            shared -= spare[c] > 0
+            length -= 1
+
+    for low in lows[:size]:
+        enter(low)
+    for i in range(len(page) - size + 1):
+        if i:
+            leave(lows[i - 1])
+            enter(lows[i + size - 1])
+        # A sigma is lower-cased by what precedes it, so there the count is no bound.
+        if 2.0 * shared / (len(wanted) + length) <= best and not sigma:
             continue
+        window = page[i : i + size].lower()
+        if window == wanted:
+            return 1.0, page[i : i + size]
+        # The order of the sequences and the fresh matcher matter for ties inside difflib.
+        matcher.set_seqs(wanted, window)
         ratio = matcher.ratio()
         if ratio > best:
-            best, found = ratio, page[i : i + len(quote)]
+            best, found = ratio, page[i : i + size]
     return best, found
 
 
@@ -41,7 +75,7 @@ def sequence_ratio(page: Column, quote: Column) -> Column:
     kind = T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("window", T.StringType())])
 
     def run(pages: pd.Series, quotes: pd.Series) -> pd.DataFrame:
-        rows = [best_window_ratio(p or "", q or "") for p, q in zip(pages, quotes, strict=True)]
+        rows = [best_window_ratio(p, q or "") if p else (0.0, "") for p, q in zip(pages, quotes, strict=True)]
         return pd.DataFrame(rows, columns=["ratio", "window"])
 
     return F.pandas_udf(run, kind)(page, quote)
@@ -71,6 +105,34 @@ def overlap(a: str, b: str) -> float:
     return len(x & y) / len(x) if x else 0.0
 
 
+#: A prompt's words that open a statement to judge, for the stand-in below.
+STATEMENT = re.compile(r"(?is)^(.*?)\bcontext:\s*(.*)$")
+
+
+def echo_judge(prompt: str) -> str:
+    """A stand-in for a hosted model: the share of the words before 'Context:' that occur behind it, as text; else 'unknown'."""
+    m = STATEMENT.match(prompt or "")
+    return f"{overlap(m[1], m[2]):.3f}" if m else "unknown"
+
+
+def generate(prompt: Column, model=echo_judge) -> Column:
+    """Answers of a model, any picklable function of one prompt; a prompt whose call fails has a null answer.
+
+    An executor's task calls it row by row within Arrow batches: a hosted model belongs behind a client with its own retries.
+    """
+
+    def run(prompts: pd.Series) -> pd.Series:
+        def call(p):
+            try:
+                return model(p)
+            except Exception:
+                return None
+
+        return prompts.map(call, na_action="ignore")
+
+    return F.pandas_udf(run, T.StringType())(prompt)
+
+
 def pair_score(a: Column, b: Column, scorer=overlap) -> Column:
     """Scores of text pairs: the place for a cross-encoder or a judge."""
 

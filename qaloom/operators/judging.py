@@ -135,6 +135,40 @@ def invert(answer: Column) -> Column:
     return out.otherwise(answer)
 
 
+def cost_report(log: DataFrame) -> DataFrame:
+    """Calls, tokens, cost, cost per question and share of the whole by agent, and of all (agent null), of (agent, question, tokens_in, tokens_out, cost)."""
+    sums = log.rollup("agent").agg(
+        F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost").alias("cost"),
+        F.count_distinct("question").alias("questions"), F.grouping("agent").alias("whole"),
+    )
+    whole = F.broadcast(sums.where("whole = 1").select(F.col("cost").alias("total")))
+    return sums.join(whole, F.lit(True)).select(
+        "agent", "calls", "tokens_in", "tokens_out", "cost", F.try_divide("cost", "questions").alias("cost_per_question"), F.try_divide("cost", "total").alias("share")
+    )
+
+
+def negatives(rows: DataFrame, score: Column) -> DataFrame:
+    """``id, strategy, text, plausibility`` of (id, answer, swapped, inverted, adjacent): a row for each negative that differs from the answer.
+
+    ``score`` is a judge's answer as text over the column ``text``; what is no number counts as 0.5.
+    """
+    kinds = {"entity_swap": "swapped", "relation_inversion": "inverted", "adjacent_confusion": "adjacent"}
+    each = F.array(*(F.struct(F.lit(k).alias("strategy"), F.col(c).alias("text")) for k, c in kinds.items()))
+    long = rows.select("id", "answer", F.explode(each).alias("n")).select("id", "answer", "n.*").where("text <> answer")
+    return long.withColumn("plausibility", F.coalesce(score.try_cast("double"), F.lit(0.5)))
+
+
+def promoted(versions: DataFrame, gates: dict[str, float]) -> DataFrame:
+    """The latest version of each name that passes each stage's gate, of (name, version, score); null where none does."""
+    return versions.groupBy("name").agg(*(F.max(F.when(F.col("score") >= gate, F.col("version"))).alias(stage) for stage, gate in gates.items()))
+
+
+def context_recall(needs: DataFrame) -> DataFrame:
+    """``id, recall`` of (id, need, found): the share of the distinct needs of an id that were found at least once."""
+    each = needs.groupBy("id", "need").agg(F.max(F.col("found").cast("int")).alias("found"))
+    return each.groupBy("id").agg(F.avg("found").alias("recall"))
+
+
 def verify_citations(citations: DataFrame, pages: DataFrame, threshold: float = 0.85) -> DataFrame:
     """``exists, similarity_score, actual_text, verdict`` added to citations (doc, page_number, quote).
 
@@ -145,7 +179,10 @@ def verify_citations(citations: DataFrame, pages: DataFrame, threshold: float =
 
     joined = citations.join(pages.select("doc", "page_number", F.col("text").alias("_page")), ["doc", "page_number"], "left")
     page, quote = F.coalesce("_page", F.lit("")), F.coalesce("quote", F.lit(""))
-    marked = joined.withColumn("_exact", (F.length(page) > 0) & F.contains(F.lower(page), F.lower(quote)))
+    low = F.lower(page)
+    # Offsets in the lower-cased page are those of the page only where lower-casing keeps all lengths (and is without context, as of a sigma).
+    even = (F.length(low) == F.length(page)) & (F.length(F.lower(quote)) == F.length(quote)) & ~F.contains(page, F.lit("\u03a3"))
+    marked = joined.withColumn("_exact", (F.length(page) > 0) & even & F.contains(low, F.lower(quote)))
     exact = marked.where("_exact").select(
         "*", F.lit(1.0).alias("_ratio"), F.expr("substring(_page, greatest(locate(lower(coalesce(quote, '')), lower(_page)), 1), length(coalesce(quote, '')))").alias("actual_text")
     )
