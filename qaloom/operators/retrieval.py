@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HITS = "query_id long, id long, similarity double"
+HITS = "query_id long, id long, similarity double, leg int"
 
 
 def _unit(rows) -> np.ndarray:
@@ -18,36 +19,46 @@ def _unit(rows) -> np.ndarray:
 
 
 def _scan(
-    items: DataFrame, queries: DataFrame, pick, item_id: str, query_id: str, vector: str, digits: int, block: int, keywords: str | None = None, text: str | None = None
-) -> DataFrame:
-    """Score all items against all queries and keep what ``pick`` chooses of each batch.
+    items: DataFrame, queries: DataFrame, pick, item_id: str, query_id: str, vector: str, digits: int, block: int,
+    legs: Sequence[str | None] = (None,), text: str | None = None, group: str | None = None,
+) -> DataFrame:
+    """Score all items against all queries, once for all legs, and keep what ``pick`` chooses of each batch.
 
     ``pick(query, keys, similarities)`` gives positions for one query and a batch of
-    items. Queries are dealt into blocks of at most ``block`` vectors, the bound of
+    items. A leg is None or a query column with a keyword, and then only items whose ``text`` contains it
+    count: one mask a batch and distinct keyword. With ``group``, a column of both, only items of the query's group count.
+    Queries are dealt into blocks of at most ``block`` vectors, the bound of what is broadcast and of
     what a task holds; items stream past each block, and only what is picked leaves a
-    task, never the pairs. With ``keywords`` (a query column) and ``text`` (an item
-    column), only items whose text contains the query's keyword count.
+    task, never the pairs. The work is queries times items: for very many queries use ``index.CellIndex``.
     """
     nothing = F.lit(None).cast("string")
-    chosen = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v"), (F.col(keywords) if keywords else nothing).alias("w"))
-    base = items.select(F.col(item_id).cast("long").alias("id"), F.col(vector).alias("v"), (F.col(text) if text else nothing).alias("t"))
+    words = [F.col(leg) if leg else nothing for leg in legs]
+    same = F.col(group).cast("string") if group else nothing
+    chosen = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v"), F.array(*words).alias("w"), same.alias("g"))
+    base = items.select(F.col(item_id).cast("long").alias("id"), F.col(vector).alias("v"), (F.col(text) if text else nothing).alias("t"), same.alias("g"))
     blocks = max(1, -(-chosen.count() // block))
 
     def run(shared):
-        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, vectors, words = shared.value
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, vectors, words, groups = shared.value
             for batch in batches:
-                if not len(batch) or not len(ids):
+                if not batch.num_rows or not len(ids):
                     continue
-                scores = np.round(vectors @ _unit(batch["v"]).T, digits)
-                keys, texts, out = batch["id"].to_numpy(np.int64), batch["t"].tolist(), []
+                keys = batch.column("id").to_numpy()
+                scores = np.round(vectors @ _unit(batch.column("v").to_pylist()).T, digits)
+                masks = {w: pc.fill_null(pc.match_substring(batch.column("t"), w), False).to_numpy(zero_copy_only=False) for ws in words for w in ws if w}
+                own_group = np.array(batch.column("g").to_pylist(), object) if group else None
+                out = [[], [], [], []]
                 for i, q in enumerate(ids):
-                    own = np.arange(len(keys))
-                    if words is not None:
-                        own = np.array([j for j, t in enumerate(texts) if t and words[i] and words[i] in t], np.int64)
-                    best = own[pick(q, keys[own], scores[i][own])]
-                    out.append(pd.DataFrame({"query_id": q, "id": keys[best], "similarity": scores[i][best]}))
-                yield pd.concat(out)
+                    for leg, name in enumerate(legs):
+                        inside = None if name is None else masks.get(words[i][leg], np.zeros(len(keys), bool))
+                        if group:
+                            inside = (own_group == groups[i]) & (True if inside is None else inside)
+                        own = np.arange(len(keys)) if inside is None else np.flatnonzero(inside)
+                        best = own[pick(q, keys[own], scores[i][own])]
+                        for column, values in zip(out, (np.full(len(best), q), keys[best], scores[i][best], np.full(len(best), leg, np.int32)), strict=True):
+                            column.append(values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "id", "similarity", "leg"])
 
         return of
 
@@ -55,12 +66,16 @@ def _scan(
     for i in range(blocks):
         part = chosen.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i) if blocks > 1 else chosen
         rows = part.collect()
-        value = ([r["q"] for r in rows], _unit([r["v"] for r in rows]) if rows else None, [r["w"] for r in rows] if keywords else None)
-        hits = base.mapInPandas(run(items.sparkSession.sparkContext.broadcast(value)), HITS)
+        value = ([r["q"] for r in rows], _unit([r["v"] for r in rows]) if rows else None, [r["w"] for r in rows], [r["g"] for r in rows])
+        hits = base.mapInArrow(run(items.sparkSession.sparkContext.broadcast(value)), HITS)
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
+def _nearest(k: int):
+    return lambda q, keys, sims: np.lexsort((keys, -sims))[:k]
+
+
 def top_k(
     items: DataFrame,
     queries: DataFrame,
@@ -72,11 +87,17 @@ def top_k(
     block: int = 8192,
     keywords: str | None = None,
     text: str | None = None,
+    group: str | None = None,
 ) -> DataFrame:
-    """``query_id, id, similarity, rank``: the k nearest items of every query by cosine, ties by id."""
-    best = lambda q, keys, sims: np.lexsort((keys, -sims))[:k]
-    hits = _scan(items, queries, best, item_id, query_id, vector, digits, block, keywords, text)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    """``query_id, id, similarity, rank``: the k nearest items of every query by cosine, ties by id.
+
+    With ``keywords`` (a query column) only items whose ``text`` contains the query's; with ``group`` only items of the query's group.
+    """
+    return _ranked(_scan(items, queries, _nearest(k), item_id, query_id, vector, digits, block, (keywords,), text, group), k).drop("leg")
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id", "leg").orderBy(F.desc("similarity"), "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -113,24 +134,22 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, k: int, vector_weight:
     1), and an item counts once for every keyword leg it is in. Ties keep the order
     in which items were first met: the vector leg, then the keyword legs.
     """
-    legs = vector_hits.select("query_id", "id", (F.col("similarity") * vector_weight).alias("s"), F.lit(0).alias("leg"), "rank").unionByName(
-        keyword_hits.select("query_id", "id", (F.col("similarity") * keyword_weight).alias("s"), "leg", "rank")
-    )
-    sums = legs.groupBy("query_id", "id").agg(F.round(F.sum("s"), digits).alias("combined_score"), F.min(F.struct("leg", "rank")).alias("met"))
+    columns = ("query_id", "id", "similarity", "leg", "rank")
+    return _fused(vector_hits.withColumn("leg", F.lit(0)).select(*columns).unionByName(keyword_hits.select(*columns)), k, vector_weight, keyword_weight, digits)
+
+
+def _fused(hits: DataFrame, k: int, vector_weight: float = 0.7, keyword_weight: float = 0.3, digits: int = 9) -> DataFrame:
+    """As ``fuse``, of all legs in one frame; leg 0 is that of vectors."""
+    weighted = F.col("similarity") * F.when(F.col("leg") == 0, vector_weight).otherwise(keyword_weight)
+    sums = hits.groupBy("query_id", "id").agg(F.round(F.sum(weighted), digits).alias("combined_score"), F.min(F.struct("leg", "rank")).alias("met"))
     order = Window.partitionBy("query_id").orderBy(F.desc("combined_score"), "met", "id")
     return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("met")
 
 
 def hybrid(items: DataFrame, queries: DataFrame, keywords: list[str], k: int = 5, text: str = "text", keep: int | None = None, **weights) -> DataFrame:
-    """Vector leg and one leg for each keyword column of ``queries``, each of 2k hits, fused to k (or ``keep``)."""
-    vector_hits = top_k(items, queries, 2 * k)
-    legs = [
-        top_k(items, queries, 2 * k, keywords=c, text=text).withColumn("leg", F.lit(i)) for i, c in enumerate(keywords, 1)
-    ]
-    merged = legs[0]
-    for more in legs[1:]:
-        merged = merged.unionByName(more)
-    return fuse(vector_hits, merged, keep or k, **weights)
+    """Vector leg and one leg for each keyword column of ``queries``, each of 2k hits of the same scan, fused to k (or ``keep``)."""
+    hits = _ranked(_scan(items, queries, _nearest(2 * k), "id", "query_id", "embedding", 6, 8192, (None, *keywords), text), 2 * k)
+    return _fused(hits, keep or k, **weights)
 
 
 def best_per_id(hits: DataFrame, keys: list[str], score: Column, k: int, order: list[str]) -> DataFrame:
@@ -146,6 +165,21 @@ def rerank(hits: DataFrame, score: Column, k: int, query: str = "query_id", item
     return hits.withColumn("rerank_score", score).withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
 
 
+def label_recall_precision(hits: DataFrame, items: DataFrame, queries: DataFrame, k: int, item_id: str = "id", query_id: str = "query_id", label: str = "label") -> DataFrame:
+    """``query_id, recall, precision`` at k where all items of a query's label are relevant to it.
+
+    Relevant items are counted by label and hits looked up by id, so no pair of a query and a relevant item is made.
+    """
+    labels = items.select(F.col(item_id).alias("id"), F.col(label).alias("_label"))
+    sizes = labels.groupBy("_label").agg(F.count("*").alias("relevant"))
+    wanted = queries.select(F.col(query_id).alias("query_id"), F.col(label).alias("_wanted"))
+    good = hits.where(F.col("rank") <= k).join(labels, "id").join(wanted, "query_id").where("_label = _wanted")
+    counts = good.groupBy("query_id").agg(F.count("*").alias("hits"))
+    found = wanted.join(sizes, F.col("_wanted") == F.col("_label")).join(counts, "query_id", "left")
+    n = F.coalesce("hits", F.lit(0))
+    return found.select("query_id", (n / F.col("relevant")).alias("recall"), (n / F.lit(k)).alias("precision"))
+
+
 def recall_precision(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """``query_id, recall, precision`` at k. Both frames have ``query_id, id``; hits also ``rank``."""
     good = relevant.groupBy("query_id").agg(F.count("*").alias("relevant"))
