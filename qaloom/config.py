@@ -1,4 +1,4 @@
-"""Engine configuration: defaults, environment, YAML-free dictionaries and validation."""
+"""Engine configuration: defaults, environment, YAML, session settings and validation."""
 
 from __future__ import annotations
 
@@ -8,6 +8,28 @@ from dataclasses import dataclass, fields, replace
 from typing import Any
 
 
+# The environment names that are read, and where YAML files keep which field.
+ENVIRONMENT = ("CHUNK_SIZE", "CHUNK_OVERLAP", "TARGET_QUESTIONS", "MAX_REFLEXION_LOOPS", "DIVERSITY_THRESHOLD", "MIN_FAITHFULNESS", "MIN_ANSWER_RELEVANCE", "MIN_CONTEXT_PRECISION")
+YAML = {
+    "generator.diversity.content_threshold": "diversity_threshold",
+    "answerer.hyde.enabled": "hyde",
+    "answerer.self_rag.quality_threshold": "self_rag_quality",
+    "answerer.self_rag.relevance_threshold": "self_rag_relevance",
+    "critic.ragas.faithfulness_threshold": "min_faithfulness",
+    "critic.ragas.relevancy_threshold": "min_answer_relevance",
+    "critic.ragas.precision_threshold": "min_context_precision",
+    "critic.constitutional.severity_threshold": "constitutional_gate",
+    "critic.academic.completeness_threshold": "min_completeness",
+    "critic.academic.terminology_threshold": "min_terminology",
+    "generation.target_questions": "target_questions",
+    "generation.max_reflexion_iterations": "max_reflexion_loops",
+    "quality_gates.composite_score": "composite_gate",
+    "quality_gates.faithfulness": "min_faithfulness",
+    "quality_gates.answer_relevancy": "min_answer_relevance",
+    "quality_gates.constitutional": "constitutional_gate",
+}
+
+
 @dataclass(frozen=True)
 class Config:
     chunk_size: int = 500
@@ -30,6 +52,8 @@ class Config:
     synonyms: bool = True
     max_variants: int = 5
     semantic_max_chunk: int = 800
+    self_rag_quality: float = 0.7
+    self_rag_relevance: float = 0.6
 
     def with_values(self, values: Mapping[str, Any]) -> Config:
         """A copy with the known keys of ``values`` (strings are cast to each field's type)."""
@@ -38,9 +62,21 @@ class Config:
         return replace(self, **{k: cast(k, v) for k, v in values.items() if k in known})
 
     @classmethod
-    def from_env(cls, env: Mapping[str, str] = os.environ) -> Config:
-        """Fields from environment variables of their upper-cased names."""
-        return cls().with_values({k.lower(): v for k, v in env.items() if k == k.upper()})
+    def from_env(cls, env: Mapping[str, str] = os.environ, prefix: str = "QALOOM_") -> Config:
+        """Fields from environment variables: the names in ENVIRONMENT, and any field's upper-cased name behind ``prefix``."""
+        plain = {k.lower(): env[k] for k in ENVIRONMENT if k in env}
+        return cls().with_values(plain | {k.removeprefix(prefix).lower(): v for k, v in env.items() if k.startswith(prefix)})
+
+    @classmethod
+    def from_yaml(cls, text: str) -> Config:
+        """Fields from the places of YAML files named in YAML, or from top-level keys of their own names; others are ignored."""
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("YAML configuration needs PyYAML") from e
+
+        flat = dict(_flat(yaml.safe_load(text) or {}))
+        return cls().with_values({k: v for k, v in flat.items() if "." not in k} | {YAML[k]: v for k, v in flat.items() if k in YAML})
 
     @classmethod
     def from_spark(cls, spark, prefix: str = "spark.qaloom.") -> Config:
@@ -51,3 +87,12 @@ class Config:
     def validate(self) -> bool:
         shares = [v for f in fields(self) if isinstance(v := getattr(self, f.name), float)]
         return all(0 <= v <= 1 for v in shares) and 0 <= self.chunk_overlap < self.chunk_size
+
+
+def _flat(tree: Mapping[str, Any], at: str = ""):
+    """Dotted paths to the leaves of nested mappings."""
+    for k, v in tree.items():
+        if isinstance(v, Mapping):
+            yield from _flat(v, f"{at}{k}.")
+        else:
+            yield f"{at}{k}", v

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,20 @@ from qaloom.schemas import CHUNK, GOLDEN, REQUIRED_METADATA
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir; unset only in local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "spark-warehouse/scratch"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{os.path.abspath('spark-warehouse')}/scratch"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Collection:
     """A persistent table of chunks."""
 
@@ -72,6 +84,38 @@ def read_golden(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(GOLDEN).option("mode", "FAILFAST").json(list(paths)).withColumn("source_file", F.input_file_name())
 
 
+def write_dataset(records: DataFrame, path: str, card: Mapping[str, str]) -> None:
+    """A dataset repository: Parquet under data/split=..., and its card as a one-row table of properties."""
+    records.write.partitionBy("split").parquet(f"{path}/data")
+    records.sparkSession.createDataFrame(sorted(card.items()), "name string, value string").coalesce(1).write.json(f"{path}/card")
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/data")
+
+
+class Runs:
+    """Append-only log of experiment runs: parameters, metrics and prompts by run, and comparisons of runs."""
+
+    SCHEMA = "run_id string, kind string, name string, step long, number double, text string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def log(self, rows: DataFrame) -> None:
+        """rows: run_id, kind ('param', 'metric', 'prompt' or 'trace'), name, step, number, text; what lacks is null."""
+        made = [F.col(n).cast(t) if n in rows.columns else F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in self.SCHEMA.split(", "))]
+        rows.select(*made).write.mode("append").partitionBy("run_id").parquet(self.path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def last_metrics(self) -> DataFrame:
+        """``run_id, name, step, number``: the last value of every metric of every run."""
+        metrics = self.rows().where("kind = 'metric'")
+        return metrics.groupBy("run_id", "name").agg(F.max("step").alias("step"), F.max_by("number", "step").alias("number"))
+
+
 def tool_json(result: DataFrame) -> DataFrame:
     """Each row as pretty-printed JSON text."""
     return result.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("json"))
