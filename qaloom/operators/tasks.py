@@ -25,16 +25,54 @@ def reduce_events(events: DataFrame) -> DataFrame:
 
 
 def artifacts(events: DataFrame) -> DataFrame:
-    """Text of artifacts from (task_id, artifact_id, seq, text, append): an event without append starts anew."""
+    """``task_id, artifact_id, text, complete`` from (task_id, artifact_id, seq, text, append, last_chunk).
+
+    An event without append starts anew; an artifact is complete if its last event says so.
+    """
     starts = F.max(F.when(~F.col("append"), F.col("seq")))
     last = events.groupBy("task_id", "artifact_id").agg(F.coalesce(starts, F.lit(-(2**62))).alias("start"))
     return (
         events.join(last, ["task_id", "artifact_id"]).where("seq >= start").groupBy("task_id", "artifact_id")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("p"))
-        .select("task_id", "artifact_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("p"), F.max_by("last_chunk", "seq").alias("complete"))
+        .select("task_id", "artifact_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"), "complete")
     )
 
 
+def drive(outcomes: DataFrame, transitions: list[tuple[str, str, str]], start: str) -> DataFrame:
+    """``run, node, steps`` after all outcomes (run, seq, outcome) of a run, in order, from ``start`` by transitions (node, outcome, next).
+
+    An outcome without a transition leaves a run where it is. A fold over the ordered outcomes of a run, in the JVM.
+    """
+    table = F.create_map(*(F.lit(x) for a, o, b in transitions for x in (f"{a}|{o}", b)))
+    each = outcomes.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("seq", "outcome"))).alias("o"))
+    node = F.aggregate("o", F.lit(start), lambda at, x: F.coalesce(F.try_element_at(table, F.concat(at, F.lit("|"), x["outcome"])), at))
+    return each.select("run", node.alias("node"), F.size("o").cast("long").alias("steps"))
+
+
+def unique_messages(messages: DataFrame, key: str = "message_id", order: str = "seq") -> DataFrame:
+    """The first of the messages of each id; messages without an id are all different. Minima combine before the shuffle."""
+    named = messages.where(F.col(key).isNotNull())
+    rest = [c for c in messages.columns if c != key]
+    first = named.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_first")).select(key, "_first.*")
+    return first.select(*messages.columns).unionByName(messages.where(F.col(key).isNull()))
+
+
+def resubscribe(events: DataFrame, since: DataFrame) -> DataFrame:
+    """``task_id, seq, kind, state`` of a stream taken up again after the events up to ``since`` (task_id, seq).
+
+    The first row of a task (kind 'task') is its state as of then, the others (kind 'status') the
+    events after it, in order; a task that had ended, or of which nothing is known, has no stream.
+    """
+    joined = events.select("task_id", F.col("seq").alias("s"), "state").join(since.select("task_id", "seq"), "task_id")
+    now = joined.where("s <= seq").select("task_id", F.col("s").alias("seq"), "state")
+    task = reduce_events(now).where(~F.col("state").isin(*TERMINAL)).select("task_id", F.col("last_seq").alias("seq"), "state")
+    open_ = task.select("task_id")
+    later = joined.where("s > seq").join(open_, "task_id", "left_semi")
+    ends = later.groupBy("task_id").agg(F.min(F.when(F.col("state").isin(*TERMINAL), F.col("s"))).alias("end"))
+    status = later.join(ends, "task_id").where("end IS NULL OR s <= end").select("task_id", F.col("s").alias("seq"), F.lit("status").alias("kind"), "state")
+    return task.select("task_id", "seq", F.lit("task").alias("kind"), "state").unionByName(status)
+
+
 def list_page(tasks: DataFrame, where: Column | None = None, after: tuple | None = None, size: int = 50) -> DataFrame:
     """One page, newest first, after the cursor (updated, id); the cursor of the next page is its last row."""
     if not 1 <= size <= 100:
