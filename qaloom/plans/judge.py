@@ -115,9 +115,13 @@ def _(read):
     return scores(read).groupBy("chapter").agg(R(F.avg(first)).alias("first_try"), R(F.avg("iterations")).alias("avg_iterations"), R(F.avg(1 - first)).alias("reflexion_rate"))
 
 
-@query("agg_cost", "SELECT event_type AS agent, count(*) AS calls, round(sum(value), 4) AS cost FROM events GROUP BY ROLLUP (event_type)")
+@query("agg_cost", """WITH x AS (SELECT event_type AS agent, user_id AS question, event_id % 900 + 100 AS tokens_in, event_id % 400 + 20 AS tokens_out, value AS cost FROM events)
+  SELECT agent, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(sum(cost), 4) AS cost,
+         round(sum(cost) / count(DISTINCT question), 4) AS cost_per_question, round(sum(cost) / (SELECT sum(cost) FROM x), 6) AS share FROM x GROUP BY ROLLUP (agent)""")
 def _(read):
-    return read("events").rollup(F.col("event_type").alias("agent")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("cost"))
+    log = read("events").select(F.col("event_type").alias("agent"), F.col("user_id").alias("question"), (F.col("event_id") % 900 + 100).alias("tokens_in"), (F.col("event_id") % 400 + 20).alias("tokens_out"), F.col("value").alias("cost"))
+    found = judging.cost_report(log)
+    return found.select("agent", "calls", "tokens_in", "tokens_out", F.round("cost", 4).alias("cost"), F.round("cost_per_question", 4).alias("cost_per_question"), R(F.col("share")).alias("share"))
 
 
 @query("agg_latency", "SELECT event_type, round(avg(value), 6) AS mean, max(value) AS worst, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY 1")
@@ -373,13 +377,28 @@ def _(read):
     return read("events").select(F.col("event_id").alias("id"), F.coalesce(said.try_cast("double"), F.lit(0.5)).alias("plausibility"))
 
 
-@query("neg_assemble", """SELECT p_partkey AS id, unnest(['entity_swap', 'inverted', 'adjacent']) AS strategy, unnest([p_name, p_type, p_brand]) AS text, unnest([0.9::DOUBLE, 0.7, 0.5]) AS plausibility FROM part""")
+_SAID = "CASE p_partkey % 4 WHEN 0 THEN p_name || ' causes ' || p_type WHEN 2 THEN p_name || ' increases ' || p_type ELSE p_name || ' is ' || p_type END"
+
+
+@query("neg_assemble", f"""WITH m AS (SELECT p_brand, min(p_name) AS lo, max(p_name) AS hi, max(p_size) AS top FROM part GROUP BY 1), x AS (SELECT *, {_SAID} AS answer FROM part JOIN m USING (p_brand)),
+  n AS (SELECT p_partkey AS id, replace(answer, p_name, CASE WHEN lo = p_name THEN hi ELSE lo END) AS swapped,
+     CASE p_partkey % 4 WHEN 0 THEN p_type || ' causes ' || p_name WHEN 2 THEN replace(answer, 'increases', 'decreases') ELSE answer END AS inverted, 'Size ' || top || ' of ' || p_brand AS adjacent, answer FROM x),
+  l AS (SELECT id, answer, unnest(['entity_swap', 'relation_inversion', 'adjacent_confusion']) AS strategy, unnest([swapped, inverted, adjacent]) AS text FROM n)
+  SELECT id, strategy, text, 0.5::DOUBLE AS plausibility FROM l WHERE text <> answer""")
 def _(read):
-    z = F.arrays_zip(
-        F.array(*map(F.lit, ("entity_swap", "inverted", "adjacent"))).alias("strategy"), F.array("p_name", "p_type", "p_brand").alias("text"),
-        F.array(*map(F.lit, (0.9, 0.7, 0.5))).alias("plausibility"),
-    )
-    return read("part").select(F.col("p_partkey").alias("id"), F.explode(z).alias("n")).select("id", "n.*")
+    """The negatives of all three strategies by answer; those that do not differ from it go. Scores come from the judge's answer, 0.5 where it is no number."""
+    from qaloom.functions.udfs import generate
+
+    part = read("part")
+    k, n, t = F.col("p_partkey") % 4, F.col("p_name"), F.col("p_type")
+    say = F.when(k == 0, F.concat(n, F.lit(" causes "), t)).when(k == 2, F.concat(n, F.lit(" increases "), t)).otherwise(F.concat(n, F.lit(" is "), t))
+    near = part.groupBy("p_brand").agg(F.min("p_name").alias("lo"), F.max("p_name").alias("hi"), F.max("p_size").alias("top"))
+    rows = part.join(near, "p_brand").select(
+        F.col("p_partkey").alias("id"), say.alias("answer"), F.replace(say, n, F.when(F.col("lo") == n, F.col("hi")).otherwise(F.col("lo"))).alias("swapped"),
+        F.format_string("Size %d of %s", "top", "p_brand").alias("adjacent"),
+    ).withColumn("inverted", judging.invert(F.col("answer")))
+    score = generate(F.concat(F.lit("How plausible is: "), F.col("text")))
+    return judging.negatives(rows, score).select("id", "strategy", "text", "plausibility")
 
 
 def edges(read):
@@ -412,7 +431,7 @@ def _root(read):
 @query("gr_bfs", W.rstrip() + " RECURSIVE " + EDGES + ", " + _ROOT + """, walk AS (SELECT node, 0 AS depth FROM root UNION SELECT b, depth + 1 FROM walk JOIN links ON a = node WHERE depth < 3)
   SELECT node, min(depth) AS depth FROM walk GROUP BY 1""")
 def _(read):
-    e = edges(read).cache()
+    e = edges(read)
     return graph.bfs(e, e.agg(F.min("a").alias("node")), 3)
 
 
@@ -422,7 +441,7 @@ _PATHS = W.rstrip() + " RECURSIVE " + EDGES + ", " + _ROOT + """, walk AS (SELEC
 
 @query("gr_paths", _PATHS + "SELECT array_to_string(path, '|') AS path, hops FROM walk WHERE hops > 0")
 def _(read):
-    e = edges(read).cache()
+    e = edges(read)
     return graph.paths(e, e.agg(F.min("a").alias("node")), 2).select(F.array_join("path", "|").alias("path"), "hops")
 
 
@@ -430,7 +449,7 @@ def _(read):
   s AS (SELECT path, r, hops, min(n) AS rarest FROM p JOIN f USING (entity) GROUP BY ALL)
   SELECT path, hops, rarest, rank FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY rarest, hops, path) AS rank FROM s) WHERE rank <= 20""")
 def _(read):
-    e = edges(read).cache()
+    e = edges(read)
     found = graph.paths(e, e.agg(F.min("a").alias("node")), 2)
     freq = mentions(read).groupBy("entity").agg(F.count("*").alias("n"))
     return graph.rare_first(found, freq, 20).select(F.array_join("path", "|").alias("path"), "hops", "rarest", "rank")
@@ -448,13 +467,14 @@ def _(read):
   FROM embeddings a JOIN embeddings b ON b.label = a.label AND b.vec_id <> a.vec_id WHERE a.vec_id % 20 = 0)
   SELECT root, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY sim DESC, id) AS rank FROM s) WHERE rank <= 3""")
 def _(read):
-    """Neighbours (vectors of the root's label) nearest to the root."""
-    from qaloom.functions.vectors import dot
+    """Neighbours (vectors of the root's label) nearest to the root. Vectors have unit length, so the dot product is the cosine."""
+    from qaloom.operators.retrieval import top_k
 
     e = read("embeddings")
-    a = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("root"), "label", F.col("embedding").alias("va"))
-    s = a.join(e, "label").where("vec_id <> root").select("root", F.col("vec_id").alias("id"), R(dot(F.col("va"), F.col("embedding"))).alias("sim"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("sim"), "id"))).where("rank <= 3").select("root", "id", "rank")
+    roots = e.where(F.col("vec_id") % 20 == 0)
+    near = top_k(e, roots, 4, item_id="vec_id", query_id="vec_id", group="label").where("id <> query_id")
+    ranks = Window.partitionBy("query_id").orderBy("rank")
+    return near.select(F.col("query_id").alias("root"), "id", F.row_number().over(ranks).alias("rank")).where("rank <= 3")
 
 
 _CONCEPT = "e AS (SELECT DISTINCT p_name AS a, p_type AS b, ['prerequisite', 'part-of', 'compare'][p_size % 3 + 1] AS type FROM part)"
@@ -465,9 +485,21 @@ def concept_edges(read):
     return read("part").select(F.col("p_name").alias("a"), F.col("p_type").alias("b"), kind.alias("type")).distinct()
 
 
-@query("gr_concept", W + _CONCEPT + " SELECT a, b, type FROM e")
+_LADDER = """e AS (SELECT p_partkey - 1 AS a, p_partkey AS b, CASE WHEN p_partkey % 5 = 0 THEN 'compare' ELSE 'prerequisite' END AS type FROM part
+  UNION SELECT p_partkey - 3, p_partkey, 'prerequisite' FROM part WHERE p_partkey % 3 = 0)"""
+
+
+@query("gr_concept", "WITH RECURSIVE " + _LADDER + """, w AS (SELECT b AS concept, b AS needs, 0 AS steps FROM e WHERE b % 20 = 0
+  UNION SELECT concept, a, steps + 1 FROM w JOIN e ON e.b = needs WHERE type = 'prerequisite' AND steps < 3)
+  SELECT concept, needs, min(steps) AS steps FROM w WHERE needs <> concept GROUP BY 1, 2""")
 def _(read):
-    return concept_edges(read)
+    """Concepts and relations added, and what every twentieth concept needs to be understood first, three steps far."""
+    k = F.col("p_partkey")
+    part = read("part")
+    e = part.select((k - 1).alias("a"), k.alias("b"), F.when(k % 5 == 0, "compare").otherwise("prerequisite").alias("type"))
+    more = part.where("p_partkey % 3 = 0").select((k - 3).alias("a"), k.alias("b"), F.lit("prerequisite").alias("type"))
+    both = e.unionByName(more).distinct()
+    return graph.ancestors(both, both.where("b % 20 = 0").select(F.col("b").alias("concept")), 3)
 
 
 @query("jn_prereq", W + _CONCEPT + " SELECT b AS concept, a AS prerequisite FROM e WHERE type = 'prerequisite'")
@@ -496,9 +528,19 @@ _NODES = [("select_section", "ok", "generate_question"), ("generate_question", "
           ("check_diversity", "fail", "generate_question"), ("generate_answer", "ok", "critic"), ("critic", "accept", "save_result"), ("critic", "reject", "generate_question")]
 
 
-@query("st_graph", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{o}', '{b}')" for a, o, b in _NODES) + ") t(node, outcome, next_node)")
+_RUN = "CASE WHEN event_id % 5 = 0 THEN 'fail' WHEN event_id % 7 = 0 THEN 'reject' WHEN event_id % 2 = 0 THEN 'pass' ELSE 'ok' END"
+
+
+@query("st_graph", "WITH RECURSIVE g AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{o}', '{b}')" for a, o, b in _NODES) + f""") t(node, outcome, next_node)),
+  ev AS (SELECT user_id AS run, {_RUN} AS outcome, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+  w AS (SELECT run, 0::BIGINT AS n, 'select_section' AS node FROM ev WHERE n = 1
+    UNION ALL SELECT w.run, ev.n, coalesce(g.next_node, w.node) FROM w JOIN ev ON ev.run = w.run AND ev.n = w.n + 1 LEFT JOIN g ON g.node = w.node AND g.outcome = ev.outcome)
+  SELECT run, arg_max(node, n) AS node, max(n) AS steps FROM w GROUP BY 1""")
 def _(read):
-    return read("region").sparkSession.createDataFrame(_NODES, "node string, outcome string, next_node string")
+    """Runs driven through the graph by their outcomes, in order; an outcome without a transition leaves a run where it is."""
+    k = F.col("event_id")
+    outcome = F.when(k % 5 == 0, "fail").when(k % 7 == 0, "reject").when(k % 2 == 0, "pass").otherwise("ok")
+    return tasks.drive(read("events").select(F.col("user_id").alias("run"), k.alias("seq"), outcome.alias("outcome")), _NODES, "select_section")
 
 
 @query("st_balance", W + QUESTIONS + ", c AS (SELECT chapter, count(*) AS n FROM questions GROUP BY 1) SELECT chapter FROM c WHERE n < (SELECT avg(n) FROM c)")
@@ -543,9 +585,35 @@ def _(read):
     return ev.join(ends, "task_id").where("seq > e").select("task_id", "seq")
 
 
-@query("a2a_dedupe", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+@query("a2a_dedupe", """WITH m AS (SELECT event_id AS seq, user_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'm' || (event_id % 997) END AS message_id FROM events)
+  SELECT message_id, min(seq) AS seq, arg_min(user_id, seq) AS user_id FROM m WHERE message_id IS NOT NULL GROUP BY 1 UNION ALL SELECT NULL, seq, user_id FROM m WHERE message_id IS NULL""")
 def _(read):
-    return read("events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    """Messages sent again under one id count once; those without an id all count."""
+    k = F.col("event_id")
+    m = read("events").select(F.when(k % 11 == 0, None).otherwise(F.concat(F.lit("m"), k % 997)).alias("message_id"), k.alias("seq"), "user_id")
+    return tasks.unique_messages(m)
+
+
+_PARTS = """a AS (SELECT user_id AS task_id, 'a' || (event_id % 3) AS artifact_id, event_id AS seq, event_type || event_id AS text, event_id % 4 > 0 AS append, event_id % 17 = 0 AS last_chunk FROM events)"""
+
+
+@query("a2a_artifacts", W + _PARTS + """, s AS (SELECT task_id, artifact_id, max(seq) FILTER (WHERE NOT append) AS start FROM a GROUP BY 1, 2)
+  SELECT task_id, artifact_id, string_agg(text, '' ORDER BY seq) AS text, arg_max(last_chunk, seq) AS complete FROM a JOIN s USING (task_id, artifact_id) WHERE seq >= coalesce(start, seq) GROUP BY 1, 2""")
+def _(read):
+    """Artifacts put together from their update events."""
+    k = F.col("event_id")
+    e = read("events").select(F.col("user_id").alias("task_id"), F.concat(F.lit("a"), k % 3).alias("artifact_id"), k.alias("seq"), F.concat("event_type", k).alias("text"), (k % 4 > 0).alias("append"), (k % 17 == 0).alias("last_chunk"))
+    return tasks.artifacts(e)
+
+
+@query("a2a_resub", W + _EVENTS + """, s AS (SELECT task_id, min(seq) AS since FROM ev GROUP BY 1),
+  x AS (SELECT task_id, seq, state, since, min(seq) FILTER (WHERE state IN ('completed', 'failed', 'canceled', 'rejected')) OVER (PARTITION BY task_id) AS e FROM ev JOIN s USING (task_id)),
+  t AS (SELECT task_id, max(seq) AS seq, arg_max(state, seq) AS state FROM x WHERE seq <= since AND (e IS NULL OR e > since) GROUP BY 1)
+  SELECT task_id, seq, 'task' AS kind, state FROM t UNION ALL SELECT task_id, x.seq, 'status', x.state FROM x JOIN t USING (task_id) WHERE x.seq > since AND (e IS NULL OR x.seq <= e)""")
+def _(read):
+    """A stream taken up again after a task's first event: the task as it then was, then what follows."""
+    ev = task_events(read)
+    return tasks.resubscribe(ev, ev.groupBy("task_id").agg(F.min("seq").alias("seq")))
 
 
 @query("a2a_context", "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY 1")
@@ -614,6 +682,25 @@ def _(read):
     return read("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(R(F.avg("l_quantity")).alias("mean"), F.count("*").alias("votes"))
 
 
-@query("nm_prompt_reg", "SELECT p_name AS name, arg_max(p_type, p_partkey) AS latest FROM part GROUP BY 1")
+_STAGES = """p AS (SELECT p_name AS name, p_partkey AS version, p_type AS prompt, ((p_partkey * 7) % 101) / 100.0::DOUBLE AS score FROM part)"""
+
+
+@query("nm_prompt_reg", W + _STAGES + """, d AS (SELECT name, arg_max(version, version) AS dev FROM p GROUP BY 1), s AS (SELECT name, max(version) AS staging FROM p WHERE score >= 0.5 GROUP BY 1),
+  r AS (SELECT name, max(version) AS prod FROM p WHERE score >= 0.85 GROUP BY 1) SELECT name, dev, staging, prod FROM d LEFT JOIN s USING (name) LEFT JOIN r USING (name)""")
+def _(read):
+    """Every version is in dev; the latest that passes a stage's gate is promoted to it."""
+    p = read("part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("version"), ((F.col("p_partkey") * 7) % 101 / 100.0).alias("score"))
+    return judging.promoted(p, {"dev": 0.0, "staging": 0.5, "prod": 0.85})
+
+
+@query("nm_tracker", W + SCORES + """ SELECT chapter AS run_id, 'faithfulness' AS name, max(id) AS step, arg_max(faithfulness, id) AS number FROM scores GROUP BY 1""")
 def _(read):
-    return read("part").groupBy(F.col("p_name").alias("name")).agg(F.max_by("p_type", "p_partkey").alias("latest"))
+    """Metrics of runs logged in two appends beside their parameters; the last value of each."""
+    from qaloom.sources.store import Runs, scratch
+
+    s = scores(read).select(F.col("chapter").alias("run_id"), F.lit("metric").alias("kind"), F.lit("faithfulness").alias("name"), F.col("id").alias("step"), F.col("faithfulness").alias("number"))
+    runs = Runs(s.sparkSession, scratch(s.sparkSession, "runs"))
+    runs.log(s.where("step % 2 = 0"))
+    runs.log(s.where("step % 2 = 1"))
+    runs.log(s.select("run_id", F.lit("param").alias("kind"), F.lit("threshold").alias("name"), F.lit("0.85").alias("text")).distinct())
+    return runs.last_metrics()
