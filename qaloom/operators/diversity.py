@@ -10,6 +10,36 @@ from pyspark.sql import functions as F
 from .judging import COGNITIVE_TARGETS, DIFFICULTY_TARGETS, TYPE_TARGETS, UNKNOWN_TARGET
 
 
+class Vectors:
+    """Unit vectors in a buffer that doubles, so that adding one copies none of the others as a rule."""
+
+    def __init__(self):
+        self.buffer, self.n = np.zeros((0, 0)), 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def rows(self) -> np.ndarray:
+        return self.buffer[: self.n]
+
+    def add(self, v: np.ndarray) -> None:
+        if self.n == len(self.buffer):
+            wider = np.zeros((max(16, 2 * self.n), len(v)))
+            if self.n:
+                wider[: self.n] = self.rows()
+            self.buffer = wider
+        self.buffer[self.n] = v
+        self.n += 1
+
+    def nearest(self, v: np.ndarray) -> float:
+        return float((self.rows() @ v).max())
+
+
+def unit(vector) -> np.ndarray:
+    v = np.asarray(vector, np.float64)
+    return v / max(np.linalg.norm(v), 1e-300)
+
+
 def topic_memory(items: DataFrame, group: str, order: str, vector: str, limit: float = 0.85) -> DataFrame:
     """``group, order, accepted``: accepted if no accepted one before is more similar than ``limit``.
 
@@ -20,13 +50,11 @@ def topic_memory(items: DataFrame, group: str, order: str, vector: str, limit: f
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("o")
-        kept, flags = np.zeros((0, len(part["v"].iloc[0]))), []
-        for v in part["v"]:
-            v = np.asarray(v, np.float64)
-            v = v / max(np.linalg.norm(v), 1e-300)
-            fine = not len(kept) or float((kept @ v).max()) <= limit
+        kept, flags = Vectors(), []
+        for v in map(unit, part["v"]):
+            fine = not len(kept) or kept.nearest(v) <= limit
             if fine:
-                kept = np.vstack([kept, v])
+                kept.add(v)
             flags.append(fine)
         return pd.DataFrame({group: part["g"], order: part["o"], "accepted": flags})
 
@@ -44,22 +72,20 @@ class DiversityState:
     """Accepted vectors and counts; what a batch walk and a stream both keep."""
 
     def __init__(self, threshold: float = 0.85):
-        self.threshold, self.vectors = threshold, []
+        self.threshold, self.vectors = threshold, Vectors()
         self.counts: tuple[dict, dict, dict] = ({}, {}, {})
 
     def offer(self, vector, kind: str, difficulty: str, level: str) -> tuple[bool, float]:
-        v = np.asarray(vector, np.float64)
-        v = v / max(np.linalg.norm(v), 1e-300)
-        score = 1.0
+        v, score = unit(vector), 1.0
         if n := len(self.vectors):
-            content = 1 - float(max(np.asarray(self.vectors) @ v))
+            content = 1 - self.vectors.nearest(v)
             rest = [
                 _share_score(c, x, n, t)
                 for c, x, t in zip(self.counts, (kind, difficulty, level), (TYPE_TARGETS, DIFFICULTY_TARGETS, COGNITIVE_TARGETS), strict=True)
             ]
             score = 0.35 * content + 0.30 * rest[0] + 0.20 * rest[1] + 0.15 * rest[2]
         if fine := score >= self.threshold:
-            self.vectors.append(v)
+            self.vectors.add(v)
             for c, x in zip(self.counts, (kind, difficulty, level), strict=True):
                 c[x] = c.get(x, 0) + 1
         return fine, score

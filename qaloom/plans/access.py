@@ -151,9 +151,9 @@ def _(read):
     return questions(read).select("id", T.word_count(long).alias("n_words")).where("n_words BETWEEN 10 AND 50")
 
 
-@query("flt_scenario", W + QUESTIONS + " SELECT id FROM questions WHERE chapter IN ('Brand#2', 'Brand#17') AND difficulty = 'expert' AND contains(lower(question), 'a')")
+@query("flt_scenario", W + QUESTIONS + " SELECT id FROM questions WHERE chapter IN ('Brand#2-0', 'Brand#17-0') AND difficulty = 'expert' AND contains(lower(question), 'a')")
 def _(read):
-    return questions(read).where(F.col("chapter").isin("Brand#2", "Brand#17") & (F.col("difficulty") == "expert") & F.contains(F.lower("question"), F.lit("a"))).select("id")
+    return questions(read).where(F.col("chapter").isin("Brand#2-0", "Brand#17-0") & (F.col("difficulty") == "expert") & F.contains(F.lower("question"), F.lit("a"))).select("id")
 
 
 @query("prj_hits", W + CHUNKS + " SELECT id, text, chapter AS meta_chapter, page_number AS meta_page FROM chunks")
@@ -345,10 +345,11 @@ def _(read):
     return prose(read).select("id", F.explode(T.chapters(F.col("text"))).alias("c")).select("id", "c.number", "c.title")
 
 
-@query("fn_keyword_hits", W + PROSE + """, h AS (SELECT id, text, unnest(list_filter(range(1, length(text)), lambda i: substr(lower(text), i, 2) = 'ar')) AS i FROM prose)
-  SELECT id, i - 1 AS position, substr(text, i, 2) AS text, substr(text, greatest(i - 10, 1), least(i - 1, 10)) AS before, substr(text, i + 2, 10) AS after FROM h""")
+@query("fn_keyword_hits", """WITH p AS (SELECT doc_id, text, unnest(l) AS part, generate_subscripts(l, 1) AS k, len(l) AS n FROM (SELECT doc_id, text, string_split(lower(text), 'ar') AS l FROM documents)),
+  h AS (SELECT doc_id, text, k < n AS hit, (sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY k) - 1)::BIGINT AS i FROM p)
+  SELECT doc_id AS id, (i - 1)::INT AS position, substr(text, i, 2) AS text, substr(text, greatest(i - 10, 1), least(i - 1, 10)) AS before, substr(text, i + 2, 10) AS after FROM h WHERE hit""")
 def _(read):
-    return prose(read).select("id", F.explode(T.keyword_hits(F.col("text"), F.lit("AR"), 10)).alias("h")).select("id", "h.*")
+    return read("documents").select(F.col("doc_id").alias("id"), F.explode(T.keyword_hits(F.col("text"), F.lit("AR"), 10)).alias("h")).select("id", "h.*")
 
 
 _CONCEPTS = r"""list_sort(list_distinct(regexp_extract_all(text, '([A-Z][a-z\p{L}\p{N}_\s]+?)\s+(?:is defined as|means|refers to)', 1)

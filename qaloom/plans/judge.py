@@ -421,18 +421,19 @@ def _(read):
     return m.groupBy("entity").agg(F.count("*").alias("n_contexts"), F.min("doc").alias("first_doc"))
 
 
-_ROOT = "root AS (SELECT min(a) AS node FROM edges)"
+#: Walks start from every entity with this beginning.
+_ROOT = "root AS (SELECT DISTINCT a AS node FROM links WHERE a LIKE 'Er%')"
 
 
-def _root(read):
-    return edges(read).agg(F.min("a").alias("node"))
+def _roots(links):
+    return graph.both_ways(links).where("a LIKE 'Er%'").select(F.col("a").alias("node")).distinct()
 
 
 @query("gr_bfs", W.rstrip() + " RECURSIVE " + EDGES + ", " + _ROOT + """, walk AS (SELECT node, 0 AS depth FROM root UNION SELECT b, depth + 1 FROM walk JOIN links ON a = node WHERE depth < 3)
   SELECT node, min(depth) AS depth FROM walk GROUP BY 1""")
 def _(read):
     e = edges(read)
-    return graph.bfs(e, e.agg(F.min("a").alias("node")), 3)
+    return graph.bfs(e, _roots(e), 3)
 
 
 _PATHS = W.rstrip() + " RECURSIVE " + EDGES + ", " + _ROOT + """, walk AS (SELECT [node] AS path, 0 AS hops FROM root
@@ -442,7 +443,7 @@ _PATHS = W.rstrip() + " RECURSIVE " + EDGES + ", " + _ROOT + """, walk AS (SELEC
 @query("gr_paths", _PATHS + "SELECT array_to_string(path, '|') AS path, hops FROM walk WHERE hops > 0")
 def _(read):
     e = edges(read)
-    return graph.paths(e, e.agg(F.min("a").alias("node")), 2).select(F.array_join("path", "|").alias("path"), "hops")
+    return graph.paths(e, _roots(e), 2).select(F.array_join("path", "|").alias("path"), "hops")
 
 
 @query("gr_secondary", _PATHS + """, f AS (SELECT entity, count(*) AS n FROM mentions GROUP BY 1), p AS (SELECT array_to_string(path, '|') AS path, path[1] AS r, hops, unnest(path) AS entity FROM walk WHERE hops > 0),
@@ -450,7 +451,7 @@ def _(read):
   SELECT path, hops, rarest, rank FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY rarest, hops, path) AS rank FROM s) WHERE rank <= 20""")
 def _(read):
     e = edges(read)
-    found = graph.paths(e, e.agg(F.min("a").alias("node")), 2)
+    found = graph.paths(e, _roots(e), 2)
     freq = mentions(read).groupBy("entity").agg(F.count("*").alias("n"))
     return graph.rare_first(found, freq, 20).select(F.array_join("path", "|").alias("path"), "hops", "rarest", "rank")
 

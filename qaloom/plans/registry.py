@@ -92,6 +92,11 @@ def toc(read) -> DataFrame:
 TOC = "toc AS (SELECT p_size AS doc, p_partkey AS ord, p_partkey % 3 + 1 AS level, p_name AS title, p_partkey // 10 + 1 AS page FROM part)"
 
 
+def _chapter():
+    """Brands by thousands of parts, so that chapters grow in number, not in size."""
+    return F.concat("p_brand", F.lit("-"), F.floor(F.col("p_partkey") / 1000))
+
+
 def questions(read) -> DataFrame:
     """A question a part, its template cycling; with difficulty and level."""
     part = read("part")
@@ -102,7 +107,7 @@ def questions(read) -> DataFrame:
         "variable": F.lit("x"), "conditions": kind, "equation": F.concat(F.lit("x = "), F.col("p_size")),
     })
     return part.select(
-        F.col("p_partkey").alias("id"), brand.alias("chapter"), text.alias("question"),
+        F.col("p_partkey").alias("id"), _chapter().alias("chapter"), text.alias("question"),
         F.element_at(F.array(F.lit("beginner"), F.lit("intermediate"), F.lit("expert")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("difficulty"),
         F.element_at(F.array(*map(F.lit, LEVEL_NAMES)), (F.col("p_partkey") % 7 + 1).cast("int")).alias("cognitive_level"),
     )
@@ -121,7 +126,7 @@ def _sql_fill() -> str:
     return out
 
 
-QUESTIONS = f"""questions AS (SELECT p_partkey AS id, p_brand AS chapter, {_sql_fill()} AS question,
+QUESTIONS = f"""questions AS (SELECT p_partkey AS id, p_brand || '-' || (p_partkey // 1000) AS chapter, {_sql_fill()} AS question,
   ['beginner', 'intermediate', 'expert'][p_partkey % 3 + 1] AS difficulty, {_sql_list(LEVEL_NAMES)}[p_partkey % 7 + 1] AS cognitive_level FROM part)"""
 
 #: Score columns and the multipliers that spread part keys over 0.00 to 1.00.
@@ -132,12 +137,12 @@ SCORE_STEPS = {"faithfulness": 1, "answer_relevancy": 7, "context_precision": 13
 def scores(read) -> DataFrame:
     cols = [((F.col("p_partkey") * m) % 101 / 100.0).alias(k) for k, m in SCORE_STEPS.items()]
     return read("part").select(
-        F.col("p_partkey").alias("id"), F.col("p_brand").alias("chapter"), *cols,
+        F.col("p_partkey").alias("id"), _chapter().alias("chapter"), *cols,
         (F.col("p_partkey") % 4).cast("int").alias("iterations"), (F.col("p_partkey") % 5 > 0).alias("citation_verified"),
     )
 
 
-SCORES = "scores AS (SELECT p_partkey AS id, p_brand AS chapter, " + ", ".join(
+SCORES = "scores AS (SELECT p_partkey AS id, p_brand || '-' || (p_partkey // 1000) AS chapter, " + ", ".join(
     f"((p_partkey * {m}) % 101) / 100.0::DOUBLE AS {k}" for k, m in SCORE_STEPS.items()
 ) + ", p_partkey % 4 AS iterations, p_partkey % 5 > 0 AS citation_verified FROM part)"
 

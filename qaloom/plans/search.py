@@ -181,14 +181,18 @@ def _(read):
 
 
 _CITES = """c AS (SELECT item_id, item_id AS doc, 1 + item_id % 5 AS page_number, text AS quote FROM benchmark
-  UNION ALL SELECT 100000 + doc, doc, 1, substr(text, 1, 40) FROM pages_ WHERE page_number = 1)"""
+  UNION ALL SELECT 1000000 + doc * 1000 + page_number, doc, page_number, text FROM pages_
+  UNION ALL SELECT -1 - doc, doc, 1, substr(text, 1, 19) || '#' || substr(text, 21, 20) FROM pages_ WHERE page_number = 1 AND doc % 10 = 0)"""
 
 
 def citations(read):
-    """Quotes of benchmark items on some page, and of every document's first page on itself."""
+    """Quotes of benchmark items on some page, of every page whole on itself, and of a tenth of first pages with a sign changed."""
     b = read("benchmark").select("item_id", F.col("item_id").alias("doc"), (1 + F.col("item_id") % 5).cast("int").alias("page_number"), F.col("text").alias("quote"))
-    own = pages(read).where("page_number = 1").select((100000 + F.col("doc")).alias("item_id"), "doc", "page_number", F.substring("text", 1, 40).alias("quote"))
-    return b.unionByName(own)
+    p = pages(read)
+    whole = p.select((1000000 + F.col("doc") * 1000 + F.col("page_number")).alias("item_id"), "doc", "page_number", F.col("text").alias("quote"))
+    changed = F.concat(F.substring("text", 1, 19), F.lit("#"), F.substring("text", 21, 20))
+    near = p.where("page_number = 1 AND doc % 10 = 0").select((-1 - F.col("doc")).alias("item_id"), "doc", "page_number", changed.alias("quote"))
+    return b.unionByName(whole).unionByName(near)
 
 
 @query("jn_citation_page", W + PAGES + ", " + _CITES + " SELECT item_id, p.text IS NOT NULL AND length(p.text) > 0 AS has_page, coalesce(contains(lower(p.text), lower(quote)), FALSE) AS exact FROM c LEFT JOIN pages_ p USING (doc, page_number)")
