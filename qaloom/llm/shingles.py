@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,15 +95,3 @@ def shingles(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
         sets.append(own)
         offsets[i + 1] = offsets[i] + len(own)
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), offsets
-
-
-def stretches(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``most`` bytes: what bounds a worker's memory beside its longest text."""
-    start, size = 0, 0
-    for i, k in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-        size += k
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
