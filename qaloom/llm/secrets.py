@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 The forest sees a candidate's length, its character transitions, how much of it
-dictionary words cover, path signs around it and neighbouring words. It is trained
+words of the corpus cover, the path or address it stands in and neighbouring words. It is trained
 in numpy from labelled findings.
 """
 
@@ -9,31 +9,34 @@ from __future__ import annotations
 
 import bisect
 import math
-import random
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Workspace, small_batches, stretches, table
+from .findings import Finding, labelled
 
 _CHARS = r"A-Za-z0-9+/_=\-"
 #: Runs of any length; what such a run lacks (digits, letters) the forest sees.
 CANDIDATE = re.compile(rf"(?<![{_CHARS}])[{_CHARS}]{{16,}}")
+#: Parts of a web token, and private keys over several lines.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_.\-])[A-Za-z0-9_\-]{10,}(?:\.[A-Za-z0-9_\-]{10,})+")
+PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[A-Za-z0-9+/=:,.\s\\\-]*?-----END \1-----")
 ALNUM = re.compile(r"[A-Za-z0-9]")
-# Words that speak for and against a secret nearby, and a small dictionary.
+# Words that speak for and against a secret nearby.
 FOR = frozenset("token key secret password passwd pwd apikey api_key access_key secret_key auth bearer credential credentials private".split())
 AGAINST = frozenset(
     "commit sha sha1 sha256 md5 hash checksum digest uuid guid etag revision rev build version example sample dummy placeholder test id file image".split()
 )
-DICTIONARY = frozenset(
-    "the and for you with this that from have your not are was but all can will one out about which when make like time just know take people into year good some could them see other than then now look only come its over think also back after use two how our work first well way even new want because any these give day most user name value string data file path index image test example config default service client server request response object list item number code page html json http https www com org net".split()
-)
+# Parts of a path or address that say what lies there.
+TRIAL = frozenset("test tests testing mock mocks fixture fixtures example examples sample samples doc docs demo".split())
+SETTINGS = frozenset("env cfg conf config ini yml yaml toml properties settings secrets credentials".split())
 WORD = re.compile(r"[A-Za-z_]+")
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _NAMES = "|".join(sorted(FOR, key=len, reverse=True))
@@ -41,23 +44,45 @@ _NAMES = "|".join(sorted(FOR, key=len, reverse=True))
 NAME = re.compile(rf"(?:(?<![A-Za-z])(?i:{_NAMES})|(?<=[a-z])(?:{'|'.join(sorted((w.title() for w in FOR), key=len, reverse=True))}))[0-9]*[\"'`\]]*\s*$")
 SIGN = re.compile(r"(?<![=:])[=:]")
 VALUE = re.compile(r"""[=:>]*\s*(?:"((?:\\.|[^"\\\n])+)"|'((?:\\.|[^'\\\n])+)'|`([^`\n]+)`|["'`]?([^\s"'`]+))""")
-NAMES = ("length", "entropy", "class_changes", "transition", "digits", "upper", "hex", "coverage", "slashes", "in_path", "for", "against", "assigned", "quoted", "repeats")
+NAMES = (
+    "length", "entropy", "class_changes", "transition", "digits", "upper", "hex", "coverage", "slashes", "address", "depth", "extension", "trial", "settings", "for",
+    "against", "assigned", "quoted", "repeats", "dotted", "signs",
+)
 
 #: A value inside another, as in the parameters of a link.
 PART = re.compile(r"""[=:>]*["'`]?([^\s"'`&;,|?]+)""")
 
 
-def _transitions() -> np.ndarray:
-    """Log-probabilities of letter pairs in the dictionary's words, smoothed."""
-    c = np.full((27, 27), 0.5)
-    for w in sorted(DICTIONARY):
-        codes = [26, *(ord(x) - 97 for x in w), 26]
-        for a, b in zip(codes, codes[1:], strict=False):
-            c[a, b] += 1
-    return np.log(c / c.sum(axis=1, keepdims=True))
+@dataclass(frozen=True)
+class Lexicon:
+    """Words of the corpus, the most frequent first, and the log-probabilities of letter pairs in them, smoothed."""
+
+    ordered: tuple[str, ...]
+    words: frozenset[str]
+    pairs: np.ndarray
+
+    @staticmethod
+    def of(counts: Mapping[str, int]) -> Lexicon:
+        c = np.full((27, 27), 0.5)
+        for w, n in sorted(counts.items()):
+            codes = [26, *(ord(x) - 97 for x in w), 26]
+            np.add.at(c, (codes[:-1], codes[1:]), n)
+        return Lexicon(tuple(sorted(counts, key=lambda w: (-counts[w], w))), frozenset(counts), np.log(c / c.sum(axis=1, keepdims=True)))
+
 
+def lexicon(docs: DataFrame, text_col: str = "text", rule: int = 16) -> Lexicon:
+    """The corpus's dictionary: words of 3 to 20 letters a-z that occur at least sqrt(words) / rule times, counted over all texts.
 
-_LOG = _transitions()
+    Counts combine before the shuffle; what comes to the driver grows more slowly than the square root of the corpus.
+    Null and empty texts have no words; no rows, no words.
+    """
+    words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"), lambda w: w.rlike("^[a-z]{3,20}$"))
+    space = Workspace(docs.sparkSession, "lexicon")
+    counted = space.cut(docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "words")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    found = counted.where(F.col("n") >= math.sqrt(total) / rule).collect()
+    space.drop("words")
+    return Lexicon.of({r["w"]: r["n"] for r in found})
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
@@ -65,9 +90,9 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
     A run is split where an equals sign stands before something else, as in NAME=value
     but not in base64 padding; where that leaves no part of 16, it stays whole unless
-    an assigned value lies in it.
+    an assigned value lies in it. Web tokens of dotted parts and private keys of several lines are candidates as a whole.
     """
-    found, outer, inner = set(), 0, 0
+    found, outer, inner = {m.span() for p in (DOTTED, PEM) for m in p.finditer(text)}, 0, 0
     for m in SIGN.finditer(text):
         if m.start() < inner or not NAME.search(text[max(0, m.start() - 64) : m.start()]):
             continue
@@ -93,34 +118,57 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return sorted(found, key=lambda x: (x[0], -x[1]))
 
 
-def features(text: str, start: int, end: int) -> list[float]:
+def covered(s: str, words: frozenset[str]) -> float:
+    """The share of characters in dictionary words, cut at signs, digits and capitals."""
+    low = s.lower()
+    runs = [(m.start(), m.end()) for m in re.finditer(r"[a-z]{3,}", low) if m.group() in words]
+    runs += [m.span() for m in re.finditer(r"[A-Z]?[a-z]{2,}", s) if m.group().lower() in words]
+    inside = np.zeros(len(s), bool)
+    for a, b in runs:
+        inside[a:b] = True
+    return float(inside.mean())
+
+
+def around(text: str, start: int, end: int, reach: int = 200) -> str:
+    """The unbroken token that a candidate stands in, up to ``reach`` characters to each side."""
+    before, after = text[max(0, start - reach) : start], text[end : end + reach]
+    return re.search(r"[^\s\"'`<>()|]*$", before).group() + text[start:end] + re.match(r"[^\s\"'`<>()|]*", after).group()
+
+
+def features(text: str, start: int, end: int, lex: Lexicon, source: str | None = None) -> list[float]:
+    """NAMES of a candidate. ``source`` is the path or address of the document, if known."""
     s = text[start:end]
     n, low, counts = len(s), s.lower(), Counter(s)
     kinds = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in s]
     codes = [ord(c) - 97 if "a" <= c <= "z" else 26 for c in low]
-    covered = sum(len(w) for w in re.findall(r"[a-z]{3,}", low) if w in DICTIONARY)
-    parts = set(low.split("_"))
-    covered += sum(len(w) for w in re.findall(r"[A-Z]?[a-z]{2,}", s) if w.lower() in DICTIONARY and w.lower() not in parts)
-    before, after = text[max(0, start - 48) : start], text[end : end + 24]
+    before = text[max(0, start - 48) : start]
     last = WORD.findall(before)[-3:]
     near = [w.lower() for w in last]
     named = [*near, *(x.lower() for w in last for x in PIECE.findall(w))]
+    token = around(text, start, end)
+    places = set(re.findall(r"[a-z]+", (source or "").lower())) | (set(re.findall(r"[a-z]+", token.lower())) if "/" in token else set())
     return [
         float(n),
         -sum(k / n * math.log2(k / n) for k in counts.values()),
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
-        float(np.mean(_LOG[codes[:-1], codes[1:]])) if n > 1 else 0.0,
+        float(np.mean(lex.pairs[codes[:-1], codes[1:]])) if n > 1 else 0.0,
         kinds.count(0) / n,
         kinds.count(2) / n,
         float(all(c in "0123456789abcdefABCDEF-" for c in s)),
-        min(1.0, covered / n),
+        covered(s, lex.words),
         s.count("/") / n,
-        float(bool(re.search(r"(://|[\\/.@])\S*$", before)) or after[:1] in "./@" and bool(after)),
+        float("://" in token or token.startswith(("www.", "data:"))),
+        float(len(re.findall(r"[/\\]+", token))),
+        float(bool(re.search(r"\.[A-Za-z]{1,5}$", token))),
+        float(bool(places & TRIAL)),
+        float(bool(places & SETTINGS)),
         float(any(w in FOR for w in named)),
         float(any(w in AGAINST for w in near) or any(w in AGAINST for w in re.findall(r"[a-z]{4,}", low))),
         float(bool(re.search(r"[=:][=>]?\s*[\"'`]?$", before))),
         float(before[-1:] in "\"'`" and bool(before)),
         1 - len(counts) / n,
+        float("." in s),
+        kinds.count(3) / n,
     ]
 
 
@@ -185,59 +233,17 @@ class Forest:
         return np.mean([t.predict(x) for t in self.trees], axis=0) if len(x) else np.zeros(0)
 
 
-def train(findings: Sequence[tuple[str, int, int, bool]], trees: int = 30, depth: int = 8, leaf: int = 5, seed: int = 11) -> Forest:
+def train(findings: Sequence[tuple[str, int, int, bool]], lex: Lexicon, trees: int = 40, depth: int = 9, leaf: int = 5, seed: int = 11) -> Forest:
     """A forest from labelled findings (text, start, end, is a secret); at most a bounded list of them."""
-    x = np.array([features(t, a, b) for t, a, b, _ in findings])
+    x = np.array([features(t, a, b, lex) for t, a, b, _ in findings])
     y = np.array([float(k) for *_, k in findings])
     rng = np.random.default_rng(seed)
     return Forest(tuple(_grow(x, y, rng, depth, leaf) for _ in range(trees)))
 
 
-def labelled_findings(n: int = 2000, seed: int = 17) -> list[tuple[str, int, int, bool]]:
-    """Synthetic labelled findings, half of them secrets; the tables have no labels for secrets."""
-    rng, words = random.Random(seed), sorted(DICTIONARY)
-    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
-    mixed = lambda k: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-") for _ in range(k))
-    some = lambda k: [rng.choice(words) for _ in range(k)]
-    letters = lambda k: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(k))
-    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    spoken = lambda k: "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(k))
-    phrase = lambda: rng.choice([rng.choice(words), " ".join(some(rng.randint(2, 6))), spoken(rng.randint(2, 6)), rng.choice(words).title() + ","])
-    password = lambda: rng.choice([
-        rng.choice(words).title() + rng.choice("!@#$%&*?") + digits(rng.randint(2, 5)), spoken(2) + digits(rng.randint(1, 5)),
-        "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789!@#$%&*") for _ in range(rng.randint(6, 15))), letters(rng.randint(8, 15)),
-    ])
-    out = []
-    while len(out) < n:
-        secret = len(out) % 2 == 0
-        if secret:
-            value = rng.choice([
-                hexes(40), hexes(32), hexes(64), "AKIA" + mixed(16).upper().replace("/", "7"), "ghp_" + mixed(36), mixed(rng.randint(20, 64)),
-                mixed(rng.randint(257, 2500)), mixed(rng.randint(60, 400)) + "==", letters(rng.randint(16, 40)), digits(rng.randint(4, 30)), password(), password(),
-            ])
-            name = rng.choice(sorted(FOR))
-            name = rng.choice([name, name, rng.choice(words) + "_" + name])
-            leads = [f'{name} = "', f"{name}: ", f"{name}='", f"{name.upper()}="]
-            lead = rng.choice([*leads, f"{name} "] if len(value) >= 16 else leads)
-        else:
-            kind = rng.randrange(11)
-            value = [
-                hexes(40), f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", "/".join(some(4)) + str(rng.randint(1, 99)),
-                "_".join(some(4)) + str(rng.randint(1, 9)), "".join(w.title() for w in some(4)) + str(rng.randint(1, 999)), "example_" + hexes(24),
-                spoken(rng.randint(8, 14)), digits(rng.randint(16, 30)), phrase(), mixed(rng.randint(60, 2500)), "-".join(some(rng.randint(4, 90))),
-            ][kind]
-            bad, name = rng.choice(sorted(AGAINST)), rng.choice(sorted(FOR))
-            lead = [
-                f"{bad} ", f"{bad}: ", "https://www.host.com/", "call ", "class ", rng.choice(["token = ", "key: "]), "", rng.choice(["number ", f"{bad} ", ""]),
-                rng.choice([f"{name}: ", f'{name} = "']), "data:image/png;base64,", rng.choice(["", "see "]),
-            ][kind]
-        head = " ".join(some(rng.randint(0, 6))) + " " + lead
-        close = lead[-1:] if lead[-1:] in {'"', "'"} else ""
-        text = head + value + (close or rng.choice(['" ', " ", ". ", "\n"])) + " " + " ".join(some(3))
-        spans = [(a, b) for a, b in candidates(text) if a < len(head) + len(value) and b > len(head)]
-        if spans:
-            out.append((text, *spans[0], secret))
-    return out
+def labelled_findings(lex: Lexicon, n: int = 3000, seed: int = 17, families: Sequence[str] | None = None) -> list[Finding]:
+    """``n`` labelled findings of ``findings.FAMILIES`` among the 2,000 most frequent words of the corpus."""
+    return labelled(candidates, lex.ordered[:2000], n, seed, families)
 
 
 def outermost(findings: list[dict]) -> list[dict]:
@@ -250,34 +256,46 @@ def outermost(findings: list[dict]) -> list[dict]:
 
 
 FOUND = "doc_id long, n_candidates long, findings array<struct<start:long,end:long,score:double>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
-def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, forest: Forest, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = None, threshold: float = 0.5) -> DataFrame:
     """``doc_id, n_candidates, n_secrets, findings`` of every whole text.
 
-    A candidate is a run of 16 or more of ``A-Za-z0-9+/_=-`` (see ``candidates``) or a
-    value of any length and signs that is assigned to a word such as password; findings are those
+    A candidate is a run of 16 or more of ``A-Za-z0-9+/_=-`` (see ``candidates``), a
+    value of any length and signs that is assigned to a word such as password, a dotted web token or a private key; findings are those
     the forest gives at least ``threshold``, with their offsets in code points and scores.
-    Of findings inside each other the outermost is given.
+    Of findings inside each other the outermost is given. ``source_col`` names a column with the path or address of a document.
 
     Defined cases: null and empty texts have no candidates. Repeated rows and null
-    ids each get a row, equal secrets each a finding; further columns are ignored. No rows, no rows.
+    ids each get a row, equal secrets each a finding; a score at exactly the threshold is a finding. A very long text is searched
+    alone, in memory of some multiple of its length. Further columns are ignored, whatever their names. No rows, no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((forest, lex))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, words = shared.value
         for batch in batches:
-            spans = [candidates(t) if t else [] for t in batch["text"]]
-            x = [features(t, a, b) for t, own in zip(batch["text"], spans, strict=True) for a, b in own]
-            scores = iter(shared.value.predict(np.array(x)).tolist() if x else [])
-            found = [outermost([{"start": a, "end": b, "score": s} for (a, b), s in [(span, next(scores)) for span in own] if s >= threshold]) for own in spans]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_candidates": [len(s) for s in spans], "findings": found})
-
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInPandas(run, FOUND).select("doc_id", "n_candidates", F.size("findings").cast("long").alias("n_secrets"), "findings")
+            for a, b in stretches(batch.column("text")):
+                part = batch.slice(a, b - a)
+                texts = part.column("text").to_pylist()
+                spans = [candidates(t) if t else [] for t in texts]
+                x = [features(t, lo, hi, words, src) for t, src, own in zip(texts, part.column("source").to_pylist(), spans, strict=True) for lo, hi in own]
+                scores = iter(trees.predict(np.array(x)).tolist() if x else [])
+                found = [outermost([{"start": lo, "end": hi, "score": s} for (lo, hi), s in [(span, next(scores)) for span in own] if s >= threshold]) for own in spans]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([len(s) for s in spans], pa.int64()), pa.array(found, _SPANS)], ["doc_id", "n_candidates", "findings"]
+                )
+
+    source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), source.alias("source"))
+    return base.mapInArrow(run, FOUND).select("doc_id", "n_candidates", F.size("findings").cast("long").alias("n_secrets"), "findings")
 
 
 def op5_secret_scan(spark, sf_dir):
-    found = scan(table(spark, sf_dir, "documents"), train(labelled_findings()))
+    docs = table(spark, sf_dir, "documents")
+    lex = lexicon(docs)
+    found = scan(docs, train(labelled_findings(lex), lex), lex, source_col="source")
     spans = F.transform("findings", lambda x: F.concat_ws("-", x["start"], x["end"]))
     return found.select("doc_id", "n_candidates", "n_secrets", F.array_join(spans, ",").alias("spans"))
