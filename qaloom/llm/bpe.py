@@ -15,19 +15,21 @@ import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import ArrowUDFType
 
-from .common import table
+from .common import small_batches, stretches, table
 
 #: Bytes up to which a stretch is merged directly, and its encoding remembered.
 LEAF = 6
 #: The same for pieces over LONG bytes, which are too seldom alike to remember.
 WIDE, LONG = 512, 4096
+#: Bytes of a stretch whose encoding is remembered.
+SHORT = 16
 #: Entries of each cache of a Python worker; a full cache is emptied, which changes no result.
 CACHE = 300_000
 
@@ -48,24 +50,6 @@ class Bpe:
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.short: dict[bytes, list[int]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Merge the pair of lowest rank, the leftmost of equals, until none is left."""
-        ranks, parts = self.ranks, [piece[i : i + 1] for i in range(len(piece))]
-        costs = [ranks.get(piece[i : i + 2]) for i in range(len(piece) - 1)]
-        while True:
-            best, at = None, -1
-            for i, c in enumerate(costs):
-                if c is not None and (best is None or c < best):
-                    best, at = c, i
-            if best is None:
-                return [ranks[p] for p in parts]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del costs[at]
-            if at < len(costs):
-                costs[at] = ranks.get(parts[at] + parts[at + 1])
-            if at:
-                costs[at - 1] = ranks.get(parts[at - 1] + parts[at])
-
     def stable(self, a: int, b: int) -> bool:
         """Whether two tokens side by side encode to themselves."""
         known = self.pairs.get((a, b))
@@ -90,10 +74,8 @@ class Bpe:
             width *= 2
 
     def direct(self, piece: bytes) -> list[int]:
-        """merge() of what is short, remembered; merge_wide() of the rest."""
-        if len(piece) > 128:
-            return self.merge_wide(piece)
-        if len(piece) > 16:
+        """merge(), remembered for what is short."""
+        if len(piece) > SHORT:
             return self.merge(piece)
         found = self.short.get(piece)
         if found is None:
@@ -102,8 +84,8 @@ class Bpe:
             found = self.short[piece] = self.merge(piece)
         return found
 
-    def merge_wide(self, piece: bytes) -> list[int]:
-        """merge() with the candidates in a heap, so without quadratic scans."""
+    def merge(self, piece: bytes) -> list[int]:
+        """Merge the pair of lowest rank, the leftmost of equals, until none is left; candidates wait in a heap."""
         ranks, n = self.ranks, len(piece)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -157,57 +139,57 @@ class Bpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-def _blocks(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Stretches of an array of about ``most`` bytes, so a worker's memory is bounded by that and its longest text."""
-    start, size = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(texts).fill_null(0).to_pylist()):
-        size += n
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _lists(each: list[np.ndarray]) -> pa.ListArray:
+    """Lists of ids. A batch of stretches() has fewer ids than bytes, unless one text is longer; a text has under 2^31 bytes."""
+    ends = np.cumsum([0, *map(len, each)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(each) if each else np.zeros(0, np.int32), pa.int32()))
 
 
 def encode(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: Sequence[str] = (),
+    decoded: str | None = None,
 ) -> DataFrame:
     """Token ids of every whole text: ``doc_id, ids`` (array of int) and the columns in ``carry``.
 
     ``ranks_path`` is a rank file that every executor has at that place; each Python
-    worker reads it once. Rows stay in their partitions.
+    worker reads it once a task. Rows stay in their partitions. With ``decoded`` a column of that
+    name has the bytes that the ids decode to, made in the same pass.
 
     Defined cases: a null or empty text has no ids. Repeated rows each get a row;
-    null ids stay; further columns are ignored. No rows, no rows.
+    null ids stay; further columns are ignored, whatever their names. Of pairs of equal rank the leftmost
+    merges first. A very long text is encoded alone, in memory of some multiple of its length. No rows, no rows.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *carry)
     others = [f for f in base.schema.fields if f.name != "_text"]
-    schema = T.StructType([*others, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
 
     def run(batches):
         bpe = Bpe(load_ranks(ranks_path), pattern)
         for batch in batches:
-            for a, b in _blocks(batch.column("_text")):
+            for a, b in stretches(batch.column("_text")):
                 part = batch.slice(a, b - a)
                 each = [np.array(bpe.encode(t), np.int32) for t in part.column("_text").to_pylist()]
-                ends = np.cumsum([0, *map(len, each)])
-                ids = pa.LargeListArray if ends[-1] > 2**31 - 1 else pa.ListArray
-                flat = pa.array(np.concatenate(each) if each else np.zeros(0, np.int32), pa.int32())
-                column = ids.from_arrays(pa.array(ends, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in others] + [column], [f.name for f in others] + ["ids"])
+                more = [pa.array([bpe.decode(x.tolist()) for x in each], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in others] + [_lists(each), *more], [f.name for f in others + added])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(run, T.StructType(others + added))
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """Add the bytes of the token ids as a binary column; a null list gives no bytes."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = Bpe(load_ranks(ranks_path), pattern)
         for ids in batches:
-            yield pd.Series([b"" if x is None else bpe.decode(x.tolist()) for x in ids], dtype=object)
+            yield pa.array([bpe.decode(x or ()) for x in ids.to_pylist()], pa.binary())
 
-    return encoded.withColumn(into, F.pandas_udf(run, T.BinaryType())(ids_col))
+    return encoded.withColumn(into, F.arrow_udf(run, T.BinaryType(), ArrowUDFType.SCALAR_ITER)(ids_col))
 
 
 def tokenizer() -> tuple[str, str]:
@@ -218,9 +200,9 @@ def tokenizer() -> tuple[str, str]:
 
 
 def digests(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Token count and digests of the ids and of what they decode to; defined cases as in ``encode``."""
     path, pattern = tokenizer()
-    both = decode(encode(docs, path, pattern, carry=carry), path, pattern)
-    return both.select(
+    return encode(docs, path, pattern, carry=carry, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
