@@ -8,17 +8,14 @@ collisions, sorts out the hopeless, and full shingle sets decide.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import HOT_KEYS, Workspace, small_batches, spread_join, stretches, table
 from .components import components
-from .shingles import U, mix, shingles, stretches
+from .shingles import U, mix, shingles
 
 BUCKET_BITS, MANTISSA_BITS = 7, 10
 BUCKETS = 1 << BUCKET_BITS
@@ -26,6 +23,8 @@ ROWS = 4
 BANDS = BUCKETS // ROWS
 #: Chance that registers of different minima agree: equal leading-zero counts (1/3) and mantissas.
 CHANCE = 2.0**-MANTISSA_BITS / 3
+#: A set of fewer than SURE * BUCKETS shingles has buckets without any, which borrow; its estimate sorts nothing out.
+SURE = 4
 #: Where an empty bucket looks for a register to borrow, one random order a bucket.
 _BORROW = np.stack([np.random.default_rng(7 + i).permutation(BUCKETS) for i in range(BUCKETS)])
 SKETCH = "doc_id long, n long, f1 long, f2 long, regs binary"
@@ -92,8 +91,12 @@ def _sets(batches):
         for a, b in stretches(texts):
             hashes, offsets = shingles(texts.slice(a, b - a))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))],
-                ["doc_id", "set"],
+                [
+                    batch.column("doc_id").slice(a, b - a),
+                    pa.array(np.diff(offsets)),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64))),
+                ],
+                ["doc_id", "n", "set"],
             )
 
 
@@ -103,20 +106,37 @@ def _estimates(batches):
             np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb")
         )
         yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(estimate(left, right), pa.float64())], ["a", "b", "estimate"]
+            [batch.column("a"), batch.column("b"), batch.column("n_a"), pa.array(estimate(left, right), pa.float64())], ["a", "b", "n", "estimate"]
         )
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets overlap enough."""
-    sa = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
-    sb = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - common
-    return pairs.join(sb, "b").join(sa, "a").where(100 * common >= percent * union).select("a", "b")
+def _with_end(pairs: DataFrame, ends: DataFrame, end: str, other: str, total: int, hot_keys: int) -> DataFrame:
+    """Pairs with the row of ``ends`` (doc_id and more) of one end, whose columns get its name behind theirs."""
+    many = pairs.groupBy(end).agg(F.count("*").alias("_many"))
+    small = ends.select(*(F.col(c).alias(end if c == "doc_id" else f"{c}_{end}") for c in ends.columns)).join(many, end)
+    return spread_join(pairs, small, [end], [other], "_many", total, hot_keys).drop("_many")
+
+
+def _linked(space: Workspace, pairs: DataFrame, total: int, regs: DataFrame, sets: DataFrame, percent: int, margin: float, hot_keys: int) -> DataFrame:
+    """Those pairs (a, b), of a written table, whose full sets overlap enough.
+
+    The estimate sorts out pairs that lie ``margin`` below the limit; where a set has so few shingles
+    that buckets borrow from each other, it has no say.
+    """
+    if not total:
+        return pairs
+    both = _with_end(_with_end(pairs, regs, "b", "a", total, hot_keys), regs, "a", "b", total, hot_keys)
+    sized = both.where(f"100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a").select("a", "b", "n_a", F.col("regs_a").alias("ra"), F.col("regs_b").alias("rb"))
+    found = sized.mapInArrow(_estimates, "a long, b long, n long, estimate double")
+    likely = space.cut(found.where((F.col("estimate") >= percent / 100 - margin) | (F.col("n") < SURE * BUCKETS)).select("a", "b"), name := f"likely{len(space.names)}", total)
+    total = space.rows[name]
+    full = _with_end(_with_end(likely, sets.select("doc_id", "set"), "b", "a", total, hot_keys), sets.select("doc_id", "set"), "a", "b", total, hot_keys)
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    union = F.size("set_a") + F.size("set_b") - common
+    return full.where(100 * common >= percent * union).select("a", "b")
 
 
-def _rest(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _rest(space: Workspace, members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, hot_keys: int) -> DataFrame:
     """Pairs that may link yet, between components that meet in a bucket.
 
     The exact way for buckets whose smallest member does not settle them: of the
@@ -126,37 +146,42 @@ def _rest(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int)
     key only members outside its largest component look for partners, and only
     pairs whose shingles from the common one on can still reach the overlap that
     their sizes ask for (the positional filter; a linking pair passes at its first common shingle).
+    Members of a frequent key are dealt to several tasks.
     """
     known = members.join(labels, members["rep"] == labels["node"], "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("comp")
     )
-    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = cut(known.join(mixed, "key").select("rep", "comp").distinct(), "open")
-    tokens = (
-        sets.join(open_, sets["doc_id"] == open_["rep"])
-        .select("rep", "comp", F.size("set").alias("n"), F.explode("set").alias("token"))
-    )
+    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    open_ = space.cut(spread_join(known, mixed, ["key"], ["rep"], "n", space.rows["members"], hot_keys).select("rep", "comp").distinct(), "open", space.rows["members"])
+    some = sets.join(open_, sets["doc_id"] == open_["rep"])
+    tokens = some.select("rep", "comp", "n", F.explode("set").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    tokens_in_all = some.agg(F.sum("n")).first()[0] or 0
     ranked = (
-        tokens.join(common, "token")
+        spread_join(tokens, common, ["token"], ["rep"], "f", tokens_in_all, hot_keys)
         .groupBy("rep", "comp", "n")
         .agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("s"))
         # 1 + n - ceil(percent * n / 100) of the rarest, those nobody shares first
-        .withColumn("left", 1 + F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") - (F.col("n") - F.size("s")))
+        .withColumn("left", (1 + F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) - (F.col("n") - F.size("s"))).cast("int"))
         .where("left > 0")
         .select("rep", "comp", "n", (F.col("n") - F.size("s")).alias("u"), F.posexplode(F.slice("s", F.lit(1), F.col("left"))).alias("i", "t"))
         # what a pair can share from its first common shingle on
         .select("rep", "comp", "n", F.col("t.token").alias("token"), (F.col("n") - F.col("u") - F.col("i")).alias("tail"))
     )
-    keys = cut(ranked, "prefixes")
+    keys = space.cut(ranked, "prefixes", tokens_in_all)
+    total = space.rows["prefixes"]
     sizes = keys.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    minor = keys.join(main, "token").where("comp <> main")
-    other = keys.select("token", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("tail").alias("tail2"))
+    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("f")).where("k > 1").drop("k")
+    meet = space.cut(spread_join(keys, main, ["token"], ["rep"], "f", total, hot_keys), "meet", total, 48)
+    # Those outside the largest component are dealt to so many copies of the key's members.
+    limit = max(1.0, total / hot_keys)
+    copies = F.when(F.col("f") > limit, F.ceil(F.col("f") / limit)).otherwise(F.lit(1)).cast("int")
+    minor = meet.where("comp <> main").withColumn("copy", F.pmod(F.xxhash64("rep"), copies).cast("int"))
+    other = meet.select("token", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("tail").alias("tail2"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
     near = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
     enough = (100 + percent) * F.least("tail", "tail2") >= percent * (F.col("n") + F.col("n2"))
     return (
-        minor.join(other, "token")
+        minor.join(other, ["token", "copy"])
         .where((F.col("comp") != F.col("comp2")) & near & enough)
         .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
         .distinct()
@@ -164,7 +189,7 @@ def _rest(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int)
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, margin: float = 0.2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, margin: float = 0.2, hot_keys: int = HOT_KEYS
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
@@ -177,19 +202,24 @@ def near_duplicates(
 
     Texts with equal sets are one node from the start, so groups of copies never
     pair up. In each band bucket members are compared with the smallest one, and
-    what that leaves open goes through _rest; no step lists all pairs of a group.
+    what that leaves open goes through _rest; no step lists all pairs of a group. Keys
+    with over 1/hot_keys of the rows of a join are dealt to several tasks. The result is a table in the shared
+    folder; those in between are deleted.
 
     Defined cases: a null or wordless text has no shingles and links with nothing,
     not even with its like. Rows of one id are one node. A row without an id takes
-    no part, has a null component_id and is kept. No rows, no rows.
+    no part, has a null component_id and is kept. A pair at exactly the limit links. A very long text is
+    hashed alone, in memory of some multiple of its length. Further columns are ignored, whatever their names. No rows, no rows.
     """
     if percent < 80:
         raise ValueError("percent must be 80 or more: the bands are laid out for that")
+    small_batches(docs.sparkSession)
+    space = Workspace(docs.sparkSession, "near")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = cut(base.mapInArrow(_sketches, SKETCH), "sketches")
+    sketches = space.cut(base.mapInArrow(_sketches, SKETCH), "sketches")
     real = sketches.where("n > 0 AND doc_id IS NOT NULL")
-    classes = cut(
-        real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), "classes"
+    classes = space.cut(
+        real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"), F.count("*").alias("copies")), "classes", space.rows["sketches"], 320
     )
     bands = classes.select(
         "rep",
@@ -200,49 +230,40 @@ def near_duplicates(
             )
         ).alias("key"),
     )
-    shared = bands.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").drop("last")
-    members = cut(bands.join(shared, "key"), "members")
+    shared = bands.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("many")).where("first < last").drop("last")
+    members = space.cut(spread_join(bands, shared, ["key"], ["rep"], "many", BANDS * space.rows["classes"], hot_keys).drop("many"), "members", BANDS * space.rows["classes"])
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(base.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set array<long>"), "sets")
-    stars = members.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    regs = classes.select("rep", "n", "regs")
-    sized = (
-        stars.join(regs.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
-        .join(regs.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
-        .where(f"100 * na >= {percent} * nb AND 100 * nb >= {percent} * na")
-        .select("a", "b", "ra", "rb")
-    )
-    likely = sized.mapInArrow(_estimates, "a long, b long, estimate double").where(
-        F.col("estimate") >= percent / 100 - margin
-    )
-    first = cut(_linked(likely.select("a", "b"), sets, percent), "links")
-    labels = cut(components(first), "labels")
-    more = _linked(_rest(members.select("key", "rep"), sets, labels, percent), sets, percent)
+    sets = space.cut(base.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, n long, set array<long>"), "sets")
+    regs = classes.select(F.col("rep").alias("doc_id"), "n", "regs")
+    stars = space.cut(members.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "stars", space.rows["members"], 16)
+    first = space.cut(_linked(space, stars, space.rows["stars"], regs, sets, percent, margin, hot_keys), "links", space.rows["stars"], 16)
+    labels = space.cut(components(first, hot_keys=hot_keys, rows=space.rows["links"]), "labels", 2 * space.rows["links"], 16)
+    open_ = space.cut(_rest(space, members.select("key", "rep"), sets, labels, percent, hot_keys), "open_pairs")
+    more = _linked(space, open_, space.rows["open_pairs"], regs, sets, percent, margin, hot_keys)
     renamed = (
         more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
         .join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     )
-    joined = components(renamed)
+    joined = components(renamed, hot_keys=hot_keys, rows=space.rows["open_pairs"])
+    # Components of components: the many nodes of one are dealt by their ids.
+    many = labels.groupBy(F.col("component").alias("node")).agg(F.count("*").alias("n"))
+    moved = joined.join(many, "node").select(F.col("node").alias("c1"), F.col("component").alias("c2"), "n")
+    inner = labels.select("node", F.col("component").alias("c1"))
     final = (
-        labels.select(F.col("node"), F.col("component").alias("c1"))
-        .join(joined.select(F.col("node").alias("c1"), F.col("component").alias("c2")), "c1", "left")
-        .select("node", F.coalesce("c2", "c1").alias("comp"))
+        spread_join(inner, moved, ["c1"], ["node"], "n", space.rows["labels"], hot_keys).select("node", F.col("c2").alias("comp"))
+        .unionByName(inner.join(moved.select("c1"), "c1", "left_anti").select("node", F.col("c1").alias("comp")))
         .unionByName(joined.join(labels, "node", "left_anti").select("node", F.col("component").alias("comp")))
+    )
+    by_class = classes.select("f1", "f2", "n", "rep", "copies").join(final, F.col("rep") == F.col("node"), "left").select(
+        "f1", "f2", "n", "copies", F.coalesce("comp", "rep").alias("component_id")
     )
-    by_class = classes.select("f1", "f2", "n", "rep").join(final, F.col("rep") == F.col("node"), "left").select(
-        "f1", "f2", "n", F.coalesce("comp", "rep").alias("comp")
-    )
-    return (
-        sketches.drop("regs")
-        .join(by_class, ["f1", "f2", "n"], "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("comp"))).otherwise(F.col("doc_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    linked = spread_join(real.drop("regs"), by_class, ["f1", "f2", "n"], ["doc_id"], "copies", space.rows["sketches"], hot_keys)
+    alone = sketches.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"))
+    rows = linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    result = space.cut(rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result", space.rows["sketches"])
+    space.drop_others("result")
+    return result
 
 
 def op9_minhash(spark, sf_dir):
