@@ -12,10 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, cut
-
-#: Bound of the number of very frequent lines that are broadcast.
-MOST_HOT = 1000
+from .common import BLANKS, HOT_KEYS, Workspace, ascii_lower, spread_join, table
 
 
 def dedup_lines(
@@ -25,6 +22,7 @@ def dedup_lines(
     carry: Sequence[str] = (),
     min_chars: int = 10,
     min_docs: int = 2,
+    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Drop lines that at least ``min_docs`` documents share, but for the one of smallest id.
 
@@ -37,11 +35,13 @@ def dedup_lines(
     empty text. Rows of the same id are one document when documents are counted,
     and each row stays. A row without an id counts for no document and keeps all
     its lines. A document all of whose lines go has the text ''; no rows, no rows.
+    There are no ties: the smallest id keeps a line, in all places it has it. A very long text is
+    exploded into rows and put together again as one array of its lines.
     """
     base = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry
     ).withColumn("_row", F.xxhash64("text"))
-    key = F.col("_key")
+    space, key = Workspace(docs.sparkSession, "lines"), F.col("_key")
     lines = (
         base.where(F.col("doc_id").isNotNull())
         .select("doc_id", "_row", F.posexplode(F.split(ascii_lower(F.col("text")), "\n")).alias("_pos", "_line"))
@@ -52,22 +52,19 @@ def dedup_lines(
     # With a limit of two, a smallest id unlike the largest is a count of two, and
     # both combine before the shuffle, so a line in a third of all documents is cheap.
     enough = F.min("doc_id") < F.max("doc_id") if min_docs == 2 else F.count_distinct("doc_id") >= min_docs
+    lines = space.cut(lines, "lines")
     found = lines.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"), enough.alias("_enough"))
-    shared = cut(found.where("_enough").drop("_enough"), "lines")
-    # Fewer than MOST_HOT keys can each have over 1/MOST_HOT of all shared lines: those few are
-    # broadcast, so that no task gets all lines of one key; the others are joined by a shuffle.
-    limit = (shared.agg(F.sum("_n")).first()[0] or 0) / MOST_HOT
-    hot = F.broadcast(shared.where(F.col("_n") > limit).select("_h1", "_h2", "_first"))
-    common = lines.join(hot, ["_h1", "_h2"], "left_anti").join(
-        shared.where(F.col("_n") <= limit).select("_h1", "_h2", "_first"), ["_h1", "_h2"]
-    )
+    shared = space.cut(found.where("_enough").drop("_enough"), "shared", space.rows["lines"] // 2, 40)
+    # Lines of a very frequent key are dealt to several tasks.
+    total = shared.agg(F.sum("_n")).first()[0] or 0
     drops = (
-        lines.join(hot, ["_h1", "_h2"])
-        .unionByName(common)
+        spread_join(lines, shared, ["_h1", "_h2"], ["doc_id", "_row", "_pos"], "_n", total, hot_keys)
         .where(F.col("doc_id") != F.col("_first"))
         .groupBy("doc_id", "_row")
         .agg(F.collect_set("_pos").alias("_drops"))
     )
+    drops = space.cut(drops, "drops", total, 40)
+    space.drop("lines", "shared")
     split = F.split("text", "\n")
     # The stretches between dropped positions, so that the work is linear in the lines.
     stretches = F.transform(
@@ -95,8 +92,6 @@ def dedup_lines(
 
 
 def op3_line_dedup(spark, sf_dir):
-    from .common import table
-
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
