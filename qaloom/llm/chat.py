@@ -55,13 +55,15 @@ class Mapping:
 
 MAPPINGS = (
     Mapping("messages", ("messages[].role", "messages[].content"), ("system",), (Turns("", "=system", ("system",)), Turns("messages", "role", ("content",)))),
+    Mapping("message_parts", ("messages[].role", "messages[].content[].text"), ("system",), (Turns("", "=system", ("system",)), Turns("messages", "role", ("content",)))),
     Mapping("conversations", ("conversations[].from", "conversations[].value"), ("system",), (Turns("", "=system", ("system",)), Turns("conversations", "from", ("value",)))),
     Mapping("turns", ("turns[].speaker", "turns[].text"), ("system",), (Turns("", "=system", ("system",)), Turns("turns", "speaker", ("text",)))),
-    Mapping("instruction", ("instruction", "output"), ("input", "system"), (Turns("", "=system", ("system",)), Turns("", "=user", ("instruction", "input")), Turns("", "=assistant", ("output",)))),
+    Mapping("instruction", ("instruction", "output"), ("input", "context", "system"), (Turns("", "=system", ("system",)), Turns("", "=user", ("instruction", "input", "context")), Turns("", "=assistant", ("output",)))),
     Mapping("instruction_response", ("instruction", "response"), ("context", "system"), (Turns("", "=system", ("system",)), Turns("", "=user", ("instruction", "context")), Turns("", "=assistant", ("response",)))),
-    Mapping("prompt_response", ("prompt", "response"), ("system",), (Turns("", "=system", ("system",)), Turns("", "=user", ("prompt",)), Turns("", "=assistant", ("response",)))),
+    Mapping("prompt_response", ("prompt", "response"), ("input", "system"), (Turns("", "=system", ("system",)), Turns("", "=user", ("prompt", "input")), Turns("", "=assistant", ("response",)))),
     Mapping("prompt_completion", ("prompt", "completion"), ("system",), (Turns("", "=system", ("system",)), Turns("", "=user", ("prompt",)), Turns("", "=assistant", ("completion",)))),
     Mapping("question_answer", ("question", "answer"), ("context", "system"), (Turns("", "=system", ("system",)), Turns("", "=user", ("context", "question")), Turns("", "=assistant", ("answer",)))),
+    Mapping("question_response", ("question", "response"), ("system_prompt",), (Turns("", "=system", ("system_prompt",)), Turns("", "=user", ("question",)), Turns("", "=assistant", ("response",)))),
     Mapping("pairs", ("history[].prompt", "history[].response"), ("system",), (Turns("", "=system", ("system",)), Turns("history", "=user", ("prompt",)), Turns("history", "=assistant", ("response",)))),
 )
 #: Roles that layouts name otherwise.
@@ -91,7 +93,24 @@ SELECT = {
 }
 
 
+def select(found: set[str]) -> tuple[Mapping | None, str]:
+    """The mapping of a record's paths and the fingerprint that selected it.
+
+    Where all known paths together have no mapping, those of one mapping after another are tried, in the order of MAPPINGS.
+    """
+    whole = fingerprint(found)
+    if whole in SELECT:
+        return SELECT[whole], whole
+    for m in MAPPINGS:
+        if found >= set(m.required) and (mark := fingerprint(found & {*m.required, *m.optional})) in SELECT:
+            return SELECT[mark], mark
+    return None, whole
+
+
 def _text(value) -> str:
+    """A text; the texts of a list of content parts; '' for null; the JSON of anything else."""
+    if isinstance(value, list) and any(isinstance(x, dict) and isinstance(x.get("text"), str) for x in value):
+        return "".join(x["text"] for x in value if isinstance(x, dict) and isinstance(x.get("text"), str))
     return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
@@ -106,7 +125,7 @@ def canonical(record, mapping: Mapping, rename_roles: bool = True) -> list[tuple
         groups = [[(t, record)] for t in mapping.turns]
     out = []
     for t, item in itertools.chain.from_iterable(groups):
-        if not isinstance(item, dict) or (t.role == "=system" and "system" not in record):
+        if not isinstance(item, dict) or (t.role == "=system" and not any(record.get(f) for f in t.text)):
             continue
         role = t.role[1:] if t.role[0] == "=" else _text(item.get(t.role))
         parts = [_text(item.get(f)) for f in t.text]
@@ -152,7 +171,8 @@ def format_records(records: DataFrame, id_col: str = "id", json_col: str = "reco
     layout 'unknown' and null text and mask, so nothing is lost silently. Null or
     missing values are empty texts; other JSON values keep their JSON form. An
     empty message list gives no turns and an empty text. Extra fields and
-    columns are ignored; repeated rows each get a row. No rows, no rows.
+    columns are ignored, whatever their names; repeated rows each get a row. A record that fits several layouts takes the first of
+    MAPPINGS. A very long text is held as a whole, escaped once. No rows, no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,15 +184,14 @@ def format_records(records: DataFrame, id_col: str = "id", json_col: str = "reco
                 except ValueError:
                     value = None
                 found = paths(value) if isinstance(value, dict) else set()
-                mark = fingerprint(found)
-                mapping = SELECT.get(mark)
+                mapping, mark = select(found)
                 key = None if pd.isna(key) else int(key)
                 if mapping is None and found & {"messages[]", "conversations[]", "turns[]", "history[]"}:
                     rows.append((key, "empty", mark, "", []))
                 elif mapping is None:
                     rows.append((key, "unknown", mark, None, None))
                 else:
-                    text, mask = render(canonical(value, mapping, mapping.name != "messages"))
+                    text, mask = render(canonical(value, mapping, not mapping.name.startswith("message")))
                     rows.append((key, mapping.name, mark, text, [{"start": a, "end": b} for a, b in mask]))
             yield pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype="Int64" if c == "id" else object) for i, c in enumerate(("id", "layout", "fingerprint", "text", "mask"))})
 
@@ -198,19 +217,26 @@ def read_formatted(formatted: DataFrame) -> DataFrame:
 
 
 def records_of_rows(rows: DataFrame) -> DataFrame:
-    """One JSON record of layout 'messages' a conversation, of (conv_id, turn, role, text) rows.
+    """One JSON record a conversation, of (conv_id, turn, role, text) rows, in one of several layouts by a hash of its id.
 
-    Ordered by turn, then role and text; null roles and texts are empty. Rows without a conv_id are one conversation.
+    A conversation of roles other than user, assistant and system has layout 'messages', which keeps roles as they
+    are; a question and its answer may be a prompt and response. Turns are ordered by turn, then role and text; null roles
+    and texts are empty. Rows without a conv_id are one conversation, of layout 'messages'. A conversation is gathered in one task, since its
+    turns are one record.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    return (
-        rows.groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(turn)).alias("m"))
-        .select(
-            F.col("conv_id").alias("id"),
-            F.to_json(F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("record"),
-        )
-    )
+    named = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("m"))
+    kind = F.when(F.forall("m", lambda x: x["role"].isin("user", "assistant", "system")), F.pmod(F.xxhash64("conv_id"), F.lit(4))).otherwise(0)
+    pair = (F.size("m") == 2) & (F.col("m")[0]["role"] == "user") & (F.try_element_at("m", F.lit(2))["role"] == "assistant")
+    other = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    each = lambda f: F.transform("m", f)
+    messages = F.to_json(F.struct(each(lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")))
+    said = F.to_json(F.struct(each(lambda x: F.struct(other(x["role"]).alias("from"), x["content"].alias("value"))).alias("conversations")))
+    turns = F.to_json(F.struct(each(lambda x: F.struct(x["role"].alias("speaker"), x["content"].alias("text"))).alias("turns")))
+    asked = F.to_json(F.struct(F.col("m")[0]["content"].alias("prompt"), F.try_element_at("m", F.lit(2))["content"].alias("response")))
+    chosen = named.withColumn("kind", F.when(F.col("conv_id").isNull(), 0).otherwise(kind))
+    record = F.when(F.col("kind") == 1, said).when(F.col("kind") == 2, turns).when((F.col("kind") == 3) & pair, asked).otherwise(messages)
+    return chosen.select(F.col("conv_id").alias("id"), record.alias("record"))
 
 
 def op6_chat_format(spark, sf_dir):
