@@ -9,37 +9,29 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaloom.llm.bpe import digests
-from qaloom.llm.common import shared_dir, table
-from qaloom.llm.decontam import decontaminate
-from qaloom.llm.langid import identify, train
+from qaloom.llm.common import remove, shared_dir, table
+from qaloom.llm.decontam import uncontaminated
+from qaloom.llm.langid import judge, train
 from qaloom.llm.line_dedup import dedup_lines
 from qaloom.llm.minhash import near_duplicates
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the whole row as a struct, so that no column name can clash."""
-    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("packed"))
-
-
-def _row(docs: DataFrame, changed: dict[str, Column] | None = None) -> list[Column]:
-    return [(changed or {}).get(c, F.col("packed").getField(c)).alias(c) for c in docs.columns]
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a recognised language; null and letterless texts go."""
-    found = identify(_packed(docs), train(docs), carry=["packed"])
-    return found.where(~F.col("rejected")).select(*_row(docs))
+    return docs.where(~judge(spark, train(docs))(F.col("text"))["rejected"])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that an earlier document has; every document stays, n_chars follows its text."""
-    return dedup_lines(_packed(docs), carry=["packed"]).select(
-        *_row(docs, {"text": F.col("text"), "n_chars": F.length("text").cast("long")})
-    )
+    # The columns that the operator does not return, as a struct: no name can clash and the text is not carried twice.
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    packed = docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("_packed"))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return dedup_lines(packed, carry=["_packed"]).select(*((new[c] if c in new else F.col("_packed").getField(c)).alias(c) for c in docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +42,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in which no window of a benchmark item occurs."""
-    found = decontaminate(_packed(docs), table(spark, sf_dir, "benchmark"), carry=["packed"])
-    return found.where("n_hit = 0").select(*_row(docs))
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; a stage's table is deleted once the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    root, last = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
+        if last:
+            remove(spark, last)
+        last = f"{root}/{name}"
     return docs
