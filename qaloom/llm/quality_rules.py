@@ -78,6 +78,9 @@ def fit_ratio(
     Every document counts in the raw multinomial; those with an id in ``trusted``
     (a frame of at most a bounded number of ids, see ``trusted_ids``) count in the
     target. Only the ``buckets`` sums come to the driver.
+
+    Defined cases: null and empty texts have no n-grams; repeated rows count as often as they occur; null ids count in the raw
+    multinomial alone. No documents or no trusted ones: every ratio is 0.
     """
     ids = F.broadcast(trusted.select(F.col(id_col).alias("_id"), F.lit(1).alias("_t")))
     sums = (
@@ -132,7 +135,8 @@ def quality_rules(
 
     Defined cases: a null, empty or blank text has no words, counts of 0, a null
     score, and fails the base rules. Repeated rows each get a row, null ids
-    too. Further input columns are ignored. An empty ``docs`` gives no rows; with no trusted documents every
+    too. A score at exactly the threshold is kept. A very long text is one row of arrays of its words' hashes. Further input
+    columns are ignored, whatever their names. An empty ``docs`` gives no rows; with no trusted documents every
     ratio is 0 and the base rules decide alone.
     """
     buckets = len(ratio)
