@@ -21,12 +21,13 @@ from qaloom.llm.minhash import near_duplicates
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of a recognised language; null and letterless texts go."""
+    """Keep documents of a recognised language; null and letterless texts go. Rows stay as they are, repeated ones too; no rows, no rows."""
     return docs.where(~judge(spark, train(docs))(F.col("text"))["rejected"])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that an earlier document has; every document stays, n_chars follows its text."""
+    """Drop lines that an earlier document has; every document stays, n_chars follows its text. Null texts become empty ones;
+    rows of one id are one document; a row without an id keeps its lines."""
     # The columns that the operator does not return, as a struct: no name can clash and the text is not carried twice.
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     packed = docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("_packed"))
@@ -41,12 +42,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in which no window of a benchmark item occurs."""
+    """Keep documents in which no window of a benchmark item occurs. Null and wordless texts stay; without items all do."""
     return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of the ids and of the decoded bytes of every document."""
+    """Token count and digests of the ids and of the decoded bytes of every document, null texts as empty ones, a row for each row."""
     return digests(docs)
 
 
