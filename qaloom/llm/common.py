@@ -120,18 +120,35 @@ class Workspace:
         self.drop(*(n for n in self.names if n not in keep))
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], by: Sequence[str], n: str, total: int, hot_keys: int = HOT_KEYS) -> DataFrame:
+def copies_of(counts: DataFrame, keys: Sequence[str], n: str, total: int, hot_keys: int) -> Column | None:
+    """To how many copies rows of a key are dealt, as an expression of the key columns; None if no key is frequent.
+
+    ``counts`` has a row a key, ``n`` how many rows it has, ``total`` of which there are in all. Keys with more than
+    total / hot_keys have a power of two of copies, so that a copy has no more than that. By pigeonhole fewer than ``hot_keys`` keys are so
+    frequent: those alone come to the driver, as hashes, and become sets in the plan.
+    """
+    limit = max(1.0, total / hot_keys)
+    hot = counts.where(F.col(n) > limit).select(F.xxhash64(*keys).alias("k"), F.ceil(F.log2(F.col(n) / limit)).cast("int").alias("p")).collect()
+    out = None
+    for p in sorted({r["p"] for r in hot}):
+        inside = F.xxhash64(*keys).isin([r["k"] for r in hot if r["p"] == p])
+        out = F.when(inside, F.lit(2**p)) if out is None else out.when(inside, F.lit(2**p))
+    return None if out is None else out.otherwise(F.lit(1))
+
+
+def spread_join(
+    big: DataFrame, small: DataFrame, keys: Sequence[str], by: Sequence[str], n: str, total: int, hot_keys: int = HOT_KEYS, counts: DataFrame | None = None
+) -> DataFrame:
     """Join ``big`` with ``small``, of one row a key, so that no task takes all rows of a frequent key.
 
-    ``n``, a column of ``small``, is how many rows of ``big`` (or at most how many) have the key, and ``total`` how many it has.
-    Rows of keys with more than total / hot_keys of them are dealt by a hash of the columns ``by`` to as many copies of
-    small's row as it takes. By pigeonhole fewer than ``hot_keys`` keys are so frequent: those alone are broadcast,
-    and there are at most 2 * hot_keys copies. Up to FEW rows in all are joined as they are.
+    ``n``, a column of ``small`` (or of ``counts``, a table of key and n), is how many rows of ``big`` (or at most how many) have the key, and ``total`` how
+    many it has. Rows of frequent keys are dealt by a hash of the columns ``by`` to copies of small's row, see ``copies_of``;
+    there are at most 4 * hot_keys copies. Up to FEW rows in all are joined as they are.
     """
     if total <= FEW and hot_keys == HOT_KEYS:  # no key can have many
         return big.join(small, list(keys))
-    limit = max(1.0, total / hot_keys)
-    copies = F.when(F.col(n) > limit, F.ceil(F.col(n) / limit)).otherwise(F.lit(1)).cast("int")
-    hot = F.broadcast(small.where(F.col(n) > limit).select(*keys, copies.alias("_copies")))
-    dealt = big.join(hot, list(keys), "left").withColumn("_copy", F.pmod(F.xxhash64(*by), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
+    copies = copies_of(small if counts is None else counts, keys, n, total, hot_keys)
+    if copies is None:
+        return big.join(small, list(keys))
+    dealt = big.withColumn("_copy", F.pmod(F.xxhash64(*by), copies).cast("int"))
     return dealt.join(small.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1))), [*keys, "_copy"]).drop("_copy")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, Workspace, small_batches, spread_join, stretches, table
+from .common import HOT_KEYS, Workspace, copies_of, small_batches, spread_join, stretches, table
 from .components import components
 from .shingles import U, mix, shingles
 
@@ -152,11 +152,12 @@ def _rest(space: Workspace, members: DataFrame, sets: DataFrame, labels: DataFra
         "key", "rep", F.coalesce("component", "rep").alias("comp")
     )
     mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    mixed = space.cut(mixed, "mixed", space.rows["members"], 16)
     open_ = space.cut(spread_join(known, mixed, ["key"], ["rep"], "n", space.rows["members"], hot_keys).select("rep", "comp").distinct(), "open", space.rows["members"])
     some = sets.join(open_, sets["doc_id"] == open_["rep"])
     tokens = some.select("rep", "comp", "n", F.explode("set").alias("token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     tokens_in_all = some.agg(F.sum("n")).first()[0] or 0
+    common = space.cut(tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"), "common", tokens_in_all // 2, 16)
     ranked = (
         spread_join(tokens, common, ["token"], ["rep"], "f", tokens_in_all, hot_keys)
         .groupBy("rep", "comp", "n")
@@ -172,10 +173,11 @@ def _rest(space: Workspace, members: DataFrame, sets: DataFrame, labels: DataFra
     total = space.rows["prefixes"]
     sizes = keys.groupBy("token", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("f")).where("k > 1").drop("k")
+    main = space.cut(main, "main", total // 2, 24)
     meet = space.cut(spread_join(keys, main, ["token"], ["rep"], "f", total, hot_keys), "meet", total, 48)
     # Those outside the largest component are dealt to so many copies of the key's members.
-    limit = max(1.0, total / hot_keys)
-    copies = F.when(F.col("f") > limit, F.ceil(F.col("f") / limit)).otherwise(F.lit(1)).cast("int")
+    copies = copies_of(main, ["token"], "f", total, hot_keys)
+    copies = F.lit(1) if copies is None else copies
     minor = meet.where("comp <> main").withColumn("copy", F.pmod(F.xxhash64("rep"), copies).cast("int"))
     other = meet.select("token", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("tail").alias("tail2"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
     near = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
@@ -231,6 +233,7 @@ def near_duplicates(
         ).alias("key"),
     )
     shared = bands.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("many")).where("first < last").drop("last")
+    shared = space.cut(shared, "shared", BANDS * space.rows["classes"] // 2, 24)
     members = space.cut(spread_join(bands, shared, ["key"], ["rep"], "many", BANDS * space.rows["classes"], hot_keys).drop("many"), "members", BANDS * space.rows["classes"])
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = space.cut(base.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, n long, set array<long>"), "sets")
@@ -258,7 +261,7 @@ def near_duplicates(
     by_class = classes.select("f1", "f2", "n", "rep", "copies").join(final, F.col("rep") == F.col("node"), "left").select(
         "f1", "f2", "n", "copies", F.coalesce("comp", "rep").alias("component_id")
     )
-    linked = spread_join(real.drop("regs"), by_class, ["f1", "f2", "n"], ["doc_id"], "copies", space.rows["sketches"], hot_keys)
+    linked = spread_join(real.drop("regs"), by_class, ["f1", "f2", "n"], ["doc_id"], "copies", space.rows["sketches"], hot_keys, classes)
     alone = sketches.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"))
     rows = linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
     result = space.cut(rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result", space.rows["sketches"])
