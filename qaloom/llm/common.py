@@ -120,8 +120,8 @@ class Workspace:
         self.drop(*(n for n in self.names if n not in keep))
 
 
-def copies_of(counts: DataFrame, keys: Sequence[str], n: str, total: int, hot_keys: int) -> Column | None:
-    """To how many copies rows of a key are dealt, as an expression of the key columns; None if no key is frequent.
+def copies_of(counts: DataFrame, keys: Sequence[str], n: str, total: int, hot_keys: int) -> Column:
+    """To how many copies rows of a key are dealt, as an expression of the key columns; 1 where a key is not frequent.
 
     ``counts`` has a row a key, ``n`` how many rows it has, ``total`` of which there are in all. Keys with more than
     total / hot_keys have a power of two of copies, so that a copy has no more than that. By pigeonhole fewer than ``hot_keys`` keys are so
@@ -129,11 +129,10 @@ def copies_of(counts: DataFrame, keys: Sequence[str], n: str, total: int, hot_ke
     """
     limit = max(1.0, total / hot_keys)
     hot = counts.where(F.col(n) > limit).select(F.xxhash64(*keys).alias("k"), F.ceil(F.log2(F.col(n) / limit)).cast("int").alias("p")).collect()
-    out = None
+    out = F.lit(1)
     for p in sorted({r["p"] for r in hot}):
-        inside = F.xxhash64(*keys).isin([r["k"] for r in hot if r["p"] == p])
-        out = F.when(inside, F.lit(2**p)) if out is None else out.when(inside, F.lit(2**p))
-    return None if out is None else out.otherwise(F.lit(1))
+        out = F.when(F.xxhash64(*keys).isin([r["k"] for r in hot if r["p"] == p]), F.lit(2**p)).otherwise(out)
+    return out
 
 
 def spread_join(
@@ -148,7 +147,5 @@ def spread_join(
     if total <= FEW and hot_keys == HOT_KEYS:  # no key can have many
         return big.join(small, list(keys))
     copies = copies_of(small if counts is None else counts, keys, n, total, hot_keys)
-    if copies is None:
-        return big.join(small, list(keys))
     dealt = big.withColumn("_copy", F.pmod(F.xxhash64(*by), copies).cast("int"))
     return dealt.join(small.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1))), [*keys, "_copy"]).drop("_copy")

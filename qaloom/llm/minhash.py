@@ -177,7 +177,6 @@ def _rest(space: Workspace, members: DataFrame, sets: DataFrame, labels: DataFra
     meet = space.cut(spread_join(keys, main, ["token"], ["rep"], "f", total, hot_keys), "meet", total, 48)
     # Those outside the largest component are dealt to so many copies of the key's members.
     copies = copies_of(main, ["token"], "f", total, hot_keys)
-    copies = F.lit(1) if copies is None else copies
     minor = meet.where("comp <> main").withColumn("copy", F.pmod(F.xxhash64("rep"), copies).cast("int"))
     other = meet.select("token", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("tail").alias("tail2"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
     near = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
@@ -241,7 +240,7 @@ def near_duplicates(
     stars = space.cut(members.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "stars", space.rows["members"], 16)
     first = space.cut(_linked(space, stars, space.rows["stars"], regs, sets, percent, margin, hot_keys), "links", space.rows["stars"], 16)
     labels = space.cut(components(first, hot_keys=hot_keys, rows=space.rows["links"]), "labels", 2 * space.rows["links"], 16)
-    open_ = space.cut(_rest(space, members.select("key", "rep"), sets, labels, percent, hot_keys), "open_pairs")
+    open_ = space.cut(_rest(space, members.select("key", "rep"), sets, labels, percent, hot_keys), "open_pairs", space.rows["members"], 16)
     more = _linked(space, open_, space.rows["open_pairs"], regs, sets, percent, margin, hot_keys)
     renamed = (
         more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
