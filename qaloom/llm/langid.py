@@ -117,21 +117,21 @@ def fit(texts: Sequence[str], langs: Sequence[str], clusters: int = 4, rounds: i
     return fit_vectors(rows, clusters, rounds, seed)
 
 
-def fit_vectors(rows: Sequence[tuple[str, Sequence[np.ndarray | None]]], clusters: int = 4, rounds: int = 12, seed: int = 5) -> Model:
+def fit_vectors(rows: Sequence[tuple[str, Sequence[np.ndarray | bytes | None]]], clusters: int = 4, rounds: int = 12, seed: int = 5) -> Model:
     """Train on (language, ``vectors`` of a text). The rejection limits follow the length: at each of LENGTHS the
     0.1% quantile of the cosines of training texts cut to that length at the end of a word.
 
-    One language's vectors are made dense at a time.
+    Vectors may be packed; a language's, or 512 of a length, are made dense at a time.
     """
     if not rows:
         return Model(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), (), 0.0)
     df = np.zeros(DIMS, np.int64)
     for _, v in rows:
-        df += v[0] > 0
+        df += _dense(v[0]) > 0
     idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
 
     def unit(some: Sequence[np.ndarray]) -> np.ndarray:
-        v = np.log1p(np.stack(some).astype(np.float32)) * idf
+        v = np.log1p(np.stack([_dense(x) for x in some]).astype(np.float32)) * idf
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     rng, centres, names = np.random.default_rng(seed), [], []
@@ -151,7 +151,7 @@ def fit_vectors(rows: Sequence[tuple[str, Sequence[np.ndarray | None]]], cluster
         if not part:
             continue
         near = np.concatenate([(unit(part[i : i + 512]) @ c.T).max(axis=1) for i in range(0, len(part), 512)])
-        sizes.append(float(np.median([(x > 0).sum() for x in part])))
+        sizes.append(float(np.median([(_dense(x) > 0).sum() for x in part])))
         limits.append(float(np.quantile(np.clip(near, 0, 1), 0.001)))
     # Longer texts have no lower limits than shorter ones.
     sizes, limits = np.maximum.accumulate(sizes), np.maximum.accumulate(limits)
@@ -219,15 +219,15 @@ def train(
     small_batches(docs.sparkSession)
     found = rows.mapInArrow(run, "id string, lang string, v array<binary>").collect()
     found.sort(key=lambda r: (r["lang"], r["id"], r["v"]))
-    return fit_vectors([(r["lang"], [_unpack(x) if x else None for x in r["v"]]) for r in found])
+    return fit_vectors([(r["lang"], [bytes(x) if x else None for x in r["v"]]) for r in found])
 
 
 def _pack(v: np.ndarray) -> bytes:
     return zlib.compress(v.astype(np.uint32).tobytes(), 1)
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), np.uint32)
+def _dense(v: np.ndarray | bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(v), np.uint32) if isinstance(v, bytes) else v
 
 
 FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
