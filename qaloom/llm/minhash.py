@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, Workspace, copies_of, small_batches, spread_join, stretches, table
+from .common import HOT_KEYS, Workspace, copies_of, may_match, small_batches, spread_join, stretches, table
 from .components import components
 from .shingles import U, mix, shingles
 
@@ -113,6 +113,7 @@ def _estimates(batches):
 def _with_end(pairs: DataFrame, ends: DataFrame, end: str, other: str, total: int, hot_keys: int) -> DataFrame:
     """Pairs with the row of ``ends`` (doc_id and more) of one end, whose columns get its name behind theirs."""
     many = pairs.groupBy(end).agg(F.count("*").alias("_many"))
+    ends = may_match(ends, pairs.select(F.col(end).alias("doc_id")), "doc_id")
     small = ends.select(*(F.col(c).alias(end if c == "doc_id" else f"{c}_{end}") for c in ends.columns)).join(many, end)
     return spread_join(pairs, small, [end], [other], "_many", total, hot_keys).drop("_many")
 
@@ -233,9 +234,9 @@ def near_duplicates(
     )
     shared = bands.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("many")).where("first < last").drop("last")
     shared = space.cut(shared, "shared", BANDS * space.rows["classes"] // 2, 24)
-    members = space.cut(spread_join(bands, shared, ["key"], ["rep"], "many", BANDS * space.rows["classes"], hot_keys).drop("many"), "members", BANDS * space.rows["classes"])
+    members = space.cut(spread_join(may_match(bands, shared, "key"), shared, ["key"], ["rep"], "many", BANDS * space.rows["classes"], hot_keys).drop("many"), "members", BANDS * space.rows["classes"])
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = space.cut(base.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, n long, set array<long>"), "sets")
+    sets = space.cut(may_match(base, ids, "doc_id").join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, n long, set array<long>"), "sets")
     regs = classes.select(F.col("rep").alias("doc_id"), "n", "regs")
     stars = space.cut(members.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "stars", space.rows["members"], 16)
     first = space.cut(_linked(space, stars, space.rows["stars"], regs, sets, percent, margin, hot_keys), "links", space.rows["stars"], 16)

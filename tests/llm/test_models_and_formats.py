@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from qaloom.llm import bpe, chat, components, findings, lm_score, minhash, secrets, warc
+from qaloom.llm import bpe, chat, common, components, findings, lm_score, minhash, secrets, warc
 
 from .helpers import LONG, ROWS, edge_docs, empty_docs, same
 
@@ -580,6 +580,44 @@ def test_components(spark):
     assert found == dealt == {**dict.fromkeys(range(100, 161), 100), **dict.fromkeys(range(1, 60), 1), 200: 200, 201: 200}
 
 
+def test_may_match_misses_no_key(spark, monkeypatch):
+    df = spark.createDataFrame([(None if i % 50 == 0 else i // 2, f"t{i}") for i in range(1000)], "doc_id long, _word string")
+    keys = spark.createDataFrame([(i,) for i in [*range(0, 400, 3), 7, 7, -5, 2**62]] + [(None,)], "doc_id long")
+    have = {r[0] for r in keys.collect()}
+    for bits, most in ((common.FILTER_BITS, 5), (64, 1000)):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        may, no = (common.may_match(df, keys, "doc_id", how) for how in ("left_semi", "left_anti"))
+        assert may.columns == no.columns == df.columns
+        may, no = may.collect(), no.collect()
+        assert sorted([*may, *no], key=str) == sorted(df.collect(), key=str)
+        assert not any(r["doc_id"] in have for r in no) and sum(r["doc_id"] not in have for r in may) <= most
+    assert common.may_match(df, keys.limit(0), "doc_id").count() == 0 and common.may_match(df, keys.limit(0), "doc_id", "left_anti").count() == 1000
+
+
+def test_near_stage_shuffles_only_texts_that_may_match(spark, tmp_path, monkeypatch):
+    """Where no table is small enough to broadcast, few near copies make few texts move, not the whole corpus twice."""
+    import corpus_pipeline as p
+
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(32):08x}" for _ in range(1000)) for _ in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, f"{t} more") for i, t in enumerate(texts[:20])] + [(1000, texts[0]), (None, texts[1])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for bits in (common.FILTER_BITS, 64):  # with so few bits all rows may match: the exact joins then decide alone
+            monkeypatch.setattr(common, "FILTER_BITS", bits)
+            at = written()
+            got = [tuple(r) for r in p.near(spark, docs, SF).collect()]
+            moved = written() - at
+            assert sorted(got, key=str) == sorted([*enumerate(texts), (None, texts[1])], key=str)
+            assert bits == 64 or 0 < moved < 0.5 * sum(len(t) for _, t in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_pipeline_matches_brute_force(spark, tiktoken_encoding):
     import hashlib
 
