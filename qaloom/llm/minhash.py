@@ -113,11 +113,15 @@ def _estimates(batches):
 def _with_end(pairs: DataFrame, ends: DataFrame, end: str, other: str, total: int, hot_keys: int) -> DataFrame:
     """Pairs with the row of ``ends`` (doc_id and more) of one end, whose columns get its name behind theirs."""
     many = pairs.groupBy(end).agg(F.count("*").alias("_many"))
-    ends = may_match(ends, pairs.select(F.col(end).alias("doc_id")), "doc_id")
     small = ends.select(*(F.col(c).alias(end if c == "doc_id" else f"{c}_{end}") for c in ends.columns)).join(many, end)
     return spread_join(pairs, small, [end], [other], "_many", total, hot_keys).drop("_many")
 
 
+def _of_ends(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``rows`` that may be of an end of the pairs; one filter for both ends."""
+    return may_match(rows, pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select(F.col("b").alias("doc_id")).distinct()), "doc_id")
+
+
 def _linked(space: Workspace, pairs: DataFrame, total: int, regs: DataFrame, sets: DataFrame, percent: int, margin: float, hot_keys: int) -> DataFrame:
     """Those pairs (a, b), of a written table, whose full sets overlap enough.
 
@@ -126,12 +130,13 @@ def _linked(space: Workspace, pairs: DataFrame, total: int, regs: DataFrame, set
     """
     if not total:
         return pairs
+    regs = _of_ends(regs, pairs)
     both = _with_end(_with_end(pairs, regs, "b", "a", total, hot_keys), regs, "a", "b", total, hot_keys)
     sized = both.where(f"100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a").select("a", "b", "n_a", F.col("regs_a").alias("ra"), F.col("regs_b").alias("rb"))
     found = sized.mapInArrow(_estimates, "a long, b long, n long, estimate double")
     likely = space.cut(found.where((F.col("estimate") >= percent / 100 - margin) | (F.col("n") < SURE * BUCKETS)).select("a", "b"), name := f"likely{len(space.names)}", total)
-    total = space.rows[name]
-    full = _with_end(_with_end(likely, sets.select("doc_id", "set"), "b", "a", total, hot_keys), sets.select("doc_id", "set"), "a", "b", total, hot_keys)
+    total, sets = space.rows[name], _of_ends(sets.select("doc_id", "set"), likely)
+    full = _with_end(_with_end(likely, sets, "b", "a", total, hot_keys), sets, "a", "b", total, hot_keys)
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
     return full.where(100 * common >= percent * union).select("a", "b")
@@ -155,20 +160,22 @@ def _rest(space: Workspace, members: DataFrame, sets: DataFrame, labels: DataFra
     mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
     mixed = space.cut(mixed, "mixed", space.rows["members"], 16)
     open_ = space.cut(spread_join(known, mixed, ["key"], ["rep"], "n", space.rows["members"], hot_keys).select("rep", "comp").distinct(), "open", space.rows["members"])
-    some = sets.join(open_, sets["doc_id"] == open_["rep"])
-    tokens = some.select("rep", "comp", "n", F.explode("set").alias("token"))
+    # Sets of a few others may pass here: any order of the shingles that holds for all of them will do, and the join with open_ below is exact.
+    some = may_match(sets.withColumnRenamed("doc_id", "rep"), open_, "rep")
+    tokens = some.select("rep", "n", F.explode("set").alias("token"))
     tokens_in_all = some.agg(F.sum("n")).first()[0] or 0
     common = space.cut(tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"), "common", tokens_in_all // 2, 16)
     ranked = (
         spread_join(tokens, common, ["token"], ["rep"], "f", tokens_in_all, hot_keys)
-        .groupBy("rep", "comp", "n")
+        .groupBy("rep", "n")
         .agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("s"))
         # 1 + n - ceil(percent * n / 100) of the rarest, those nobody shares first
         .withColumn("left", (1 + F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) - (F.col("n") - F.size("s"))).cast("int"))
         .where("left > 0")
-        .select("rep", "comp", "n", (F.col("n") - F.size("s")).alias("u"), F.posexplode(F.slice("s", F.lit(1), F.col("left"))).alias("i", "t"))
+        .select("rep", "n", (F.col("n") - F.size("s")).alias("u"), F.posexplode(F.slice("s", F.lit(1), F.col("left"))).alias("i", "t"))
         # what a pair can share from its first common shingle on
-        .select("rep", "comp", "n", F.col("t.token").alias("token"), (F.col("n") - F.col("u") - F.col("i")).alias("tail"))
+        .select("rep", "n", F.col("t.token").alias("token"), (F.col("n") - F.col("u") - F.col("i")).alias("tail"))
+        .join(open_, "rep")
     )
     keys = space.cut(ranked, "prefixes", tokens_in_all)
     total = space.rows["prefixes"]
