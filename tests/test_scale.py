@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from qaloom.sources.store import Runs
+from qaloom.sources.store import Checkpoints, Runs
 
 
 def test_run_log_has_a_file_a_task_however_many_runs(spark, tmp_path):
@@ -16,3 +16,14 @@ def test_run_log_has_a_file_a_task_however_many_runs(spark, tmp_path):
     assert len([f for _, _, fs in os.walk(f"{tmp_path}/runs") for f in fs if f.endswith(".parquet")]) == 2
     got = {r["run_id"]: (r["step"], r["number"]) for r in runs.last_metrics().collect()}
     assert got == {f"r{k}": (3500 + k, (3500 + k) / 2) for k in range(500)}
+
+
+def test_checkpoint_log_has_a_file_a_task_however_many_threads(spark, tmp_path):
+    rows = spark.range(0, 2000, 1, 2).select(F.concat(F.lit("t"), F.col("id") % 400).alias("thread_id"), F.col("id").alias("checkpoint_id"), F.lit("s").alias("state"))
+    log = Checkpoints(spark, f"{tmp_path}/log")
+    log.save(rows)
+    log.save(rows.limit(0).unionByName(spark.createDataFrame([("t7", 9999, "last"), ("", 1, "empty")], rows.schema)).coalesce(1))
+    assert len([f for _, _, fs in os.walk(f"{tmp_path}/log") for f in fs if f.endswith(".parquet")]) <= 4
+    latest = {r["thread_id"]: r["checkpoint_id"] for r in log.latest().collect()}
+    assert len(latest) == 401 and latest["t7"] == 9999 and latest["t8"] == 1608 and latest[""] == 1
+    assert log.list("t8").count() == 5
