@@ -1,9 +1,12 @@
 """What must not grow with the number of keys, queries or paths."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
+from qaloom.operators import graph
+from qaloom.plans import ORACLES
 from qaloom.sources.store import Checkpoints, Runs
 
 
@@ -27,3 +30,25 @@ def test_checkpoint_log_has_a_file_a_task_however_many_threads(spark, tmp_path):
     latest = {r["thread_id"]: r["checkpoint_id"] for r in log.latest().collect()}
     assert len(latest) == 401 and latest["t7"] == 9999 and latest["t8"] == 1608 and latest[""] == 1
     assert log.list("t8").count() == 5
+
+
+def test_rarest_paths_are_those_of_all_paths(spark):
+    rng = random.Random(5)
+    names = [f"N{'abcd'[i % 4] * (i // 4 + 1)}" for i in range(24)]  # many are the beginning of another
+    weights = [1 / (i + 1) for i in range(24)]
+    mentions = [(p // 9, p % 9, e) for p in range(60) for e in rng.choices(names, weights, k=rng.randint(1, 5))]
+    df = spark.createDataFrame(mentions, "doc long, para long, entity string")
+    edges, freq = graph.co_occurrence(df), df.groupBy("entity").agg(F.count("*").alias("n"))
+    roots = graph.both_ways(edges).select(F.col("a").alias("node")).distinct()
+    found = graph.paths(edges, roots, 2)
+    for k in (1, 3, 20):
+        want = sorted(tuple(map(str, r)) for r in graph.rare_first(found, freq, k).select("path", "hops", "rarest", "rank").collect())
+        assert want == sorted(tuple(map(str, r)) for r in graph.rarest_paths(edges, freq, k).select("path", "hops", "rarest", "rank").collect())
+
+
+def test_rarest_paths_start_from_every_entity(spark):
+    rows = spark.sql("SELECT 1L AS doc_id, 'Zebras Yonder Xenons' AS text")
+    assert "LIKE" not in ORACLES["gr_secondary"] and "LIKE 'Er%'" in ORACLES["gr_paths"]
+    mentioned = rows.select(F.lit(1).alias("doc"), F.lit(1).alias("para"), F.explode(F.split("text", " ")).alias("entity"))
+    got = graph.rarest_paths(graph.co_occurrence(mentioned), mentioned.groupBy("entity").agg(F.count("*").alias("n")), 20)
+    assert {r["path"][0] for r in got.collect()} == {"Zebras", "Yonder", "Xenons"} and got.count() == 12
