@@ -3,9 +3,10 @@
 import os
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from qaloom.operators import graph
+from qaloom.operators import graph, retrieval
 from qaloom.plans import ORACLES
 from qaloom.sources.store import Checkpoints, Runs
 
@@ -52,3 +53,44 @@ def test_rarest_paths_start_from_every_entity(spark):
     mentioned = rows.select(F.lit(1).alias("doc"), F.lit(1).alias("para"), F.explode(F.split("text", " ")).alias("entity"))
     got = graph.rarest_paths(graph.co_occurrence(mentioned), mentioned.groupBy("entity").agg(F.count("*").alias("n")), 20)
     assert {r["path"][0] for r in got.collect()} == {"Zebras", "Yonder", "Xenons"} and got.count() == 12
+
+
+def _held(k, sims, ids, queries):
+    """What a keeper has of similarities offered in parts."""
+    kept = k(len(queries), 6)
+    for a in range(0, sims.shape[1], 37):
+        for b in range(0, len(queries), 3):
+            at = np.arange(b, min(b + 3, len(queries)))
+            kept.offer(at, queries[at], ids[a : a + 37], sims[at, a : a + 37])
+    return sorted((int(q), int(i), float(s)) for q, i, s in zip(*kept.found(), strict=True))
+
+
+def test_keepers_choose_as_if_all_were_at_hand():
+    rng = np.random.default_rng(3)
+    ids, queries = rng.permutation(500), np.arange(0, 500, 50)
+    sims = rng.normal(size=(10, 500)).round(1) / 4  # many ties
+    sims[3] = np.sort(sims[3])
+    top = np.round(sims, 6)
+    order = [np.lexsort((ids, -row)) for row in top]
+    want = sorted((q, int(ids[i]), float(top[q, i])) for q in range(10) for i in order[q][:7])
+    assert _held(lambda n, d: retrieval._Nearest(7, n, d), sims, ids, queries) == want
+    best = [(q, top[q][ids < queries[q]].max()) for q in range(10) if (ids < queries[q]).any()]
+    assert [(q, s) for q, _, s in _held(retrieval._Before, sims, ids, queries)] == best
+    inside = [(q, int(ids[(top[q] > 0.2) & (top[q] < 0.4)].min())) for q in range(10)]
+    assert [(q, i) for q, i, _ in _held(lambda n, d: retrieval._Between(0.2, 0.4, n, d), sims, ids, queries)] == inside
+
+
+def test_a_scan_is_bounded_and_counts_keywords(spark):
+    items = spark.range(0, 6000).select("id", F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 3)).cast("array<float>").alias("embedding"))
+
+    class Bounded(retrieval._Nearest):
+        def offer(self, at, queries, ids, sims):
+            assert sims.size <= 1 << 20
+            super().offer(at, queries, ids, sims)
+
+    hits = retrieval._scan(items, items.withColumnRenamed("id", "query_id"), lambda n, d: Bounded(5, n, d), "id", "query_id", "embedding", 6, 8192)
+    assert hits.count() <= 6000 * 5 * 2 * max(spark.sparkContext.defaultParallelism, 4)
+    part = items.where("id < 40").withColumn("text", F.when(F.col("id") % 2 == 0, "a the").otherwise(F.when(F.col("id") % 3 == 0, None).otherwise("der")))
+    asked = part.where("id < 6").select(F.col("id").alias("query_id"), "embedding", F.element_at(F.array(F.lit("the"), F.lit("der"), F.lit(None)), (F.col("id") % 3 + 1).cast("int")).alias("kw"))
+    got = retrieval.top_k(part, asked, 100, keywords="kw", text="text", block=2).groupBy("query_id").count().collect()
+    assert {r[0]: r[1] for r in got} == {0: 20, 1: 13, 3: 20, 4: 13}
