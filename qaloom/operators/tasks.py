@@ -63,13 +63,21 @@ def resubscribe(events: DataFrame, since: DataFrame) -> DataFrame:
     The first row of a task (kind 'task') is its state as of then, the others (kind 'status') the
     events after it, in order; a task that had ended, or of which nothing is known, has no stream.
     """
-    joined = events.select("task_id", F.col("seq").alias("s"), "state").join(since.select("task_id", "seq"), "task_id")
-    now = joined.where("s <= seq").select("task_id", F.col("s").alias("seq"), "state")
-    task = reduce_events(now).where(~F.col("state").isin(*TERMINAL)).select("task_id", F.col("last_seq").alias("seq"), "state")
-    open_ = task.select("task_id")
-    later = joined.where("s > seq").join(open_, "task_id", "left_semi")
-    ends = later.groupBy("task_id").agg(F.min(F.when(F.col("state").isin(*TERMINAL), F.col("s"))).alias("end"))
-    status = later.join(ends, "task_id").where("end IS NULL OR s <= end").select("task_id", F.col("s").alias("seq"), F.lit("status").alias("kind"), "state")
+    # Dealt once to all partitions, which are not put together again: events are many where they are few bytes. Events stream past hashes of
+    # one row a task, and what a task needs to know are numbers, which are aggregated in hashes too: nothing sorts or holds the events.
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The filter makes its three readers the same to Spark, so that one shuffle serves them.
+    dealt = events.select("task_id", "seq", "state").where("task_id IS NOT NULL AND seq IS NOT NULL").repartition(n, "task_id")
+    asked = dealt.join(since.select("task_id", F.col("seq").alias("since")).hint("shuffle_hash"), "task_id")
+    known, ended = F.col("seq") <= F.col("since"), F.col("state").isin(*TERMINAL)
+    facts = asked.groupBy("task_id").agg(
+        F.max(F.when(known, F.col("seq"))).alias("last"), F.max(F.when(known & F.col("state").isNotNull(), F.col("seq"))).alias("told"),
+        F.max(F.when(known & ended, 1)).alias("over"), F.min(F.when(~known & ended, F.col("seq"))).alias("end"),
+    ).where("last = told AND over IS NULL").select("task_id", "last", "end")
+    kept = dealt.join(facts.hint("shuffle_hash"), "task_id").where("seq >= last AND (end IS NULL OR seq <= end)")
+    # Not 'seq = last', which would become a key of the join and shuffle the events anew.
+    task = kept.where("seq <= last").groupBy("task_id", "seq").agg(F.max("state").alias("state"))
+    status = kept.where("seq > last").select("task_id", "seq", F.lit("status").alias("kind"), "state")
     return task.select("task_id", "seq", F.lit("task").alias("kind"), "state").unionByName(status)
 
 

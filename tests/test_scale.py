@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from qaloom.operators import graph, retrieval
+from qaloom.operators import graph, retrieval, tasks
 from qaloom.plans import ORACLES
 from qaloom.sources.store import Checkpoints, Runs
 
@@ -94,3 +94,21 @@ def test_a_scan_is_bounded_and_counts_keywords(spark):
     asked = part.where("id < 6").select(F.col("id").alias("query_id"), "embedding", F.element_at(F.array(F.lit("the"), F.lit("der"), F.lit(None)), (F.col("id") % 3 + 1).cast("int")).alias("kw"))
     got = retrieval.top_k(part, asked, 100, keywords="kw", text="text", block=2).groupBy("query_id").count().collect()
     assert {r[0]: r[1] for r in got} == {0: 20, 1: 13, 3: 20, 4: 13}
+
+
+def test_resubscription_sorts_no_events(spark):
+    rows = [(t, i, "working" if (t + i) % 9 else "failed") for t in range(50) for i in range(12)] + [(7, 3, "working"), (90, 1, None)]
+    events = spark.createDataFrame(rows, "task_id long, seq long, state string")
+    since = spark.createDataFrame([(t, t % 5) for t in range(60)] + [(90, 1)], "task_id long, seq long")
+    found = tasks.resubscribe(events, since)
+    want = []
+    for t in range(50):
+        own = sorted({(i, s) for k, i, s in rows if k == t})
+        before = [x for x in own if x[0] <= t % 5]
+        if any(s == "failed" for _, s in before):
+            continue
+        end = min((i for i, s in own if i > t % 5 and s == "failed"), default=99)
+        want += [(t, before[-1][0], "task", "working")] + [(t, i, "status", s) for k, i, s in rows if k == t and t % 5 < i <= end]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    status = found.where("kind = 'status'")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in status and "Sort" not in status
