@@ -4,9 +4,10 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from qaloom.operators import graph, retrieval, tasks
+from qaloom.operators import chunking, graph, retrieval, tasks
 from qaloom.plans import ORACLES
 from qaloom.sources.store import Checkpoints, Runs
 
@@ -112,3 +113,13 @@ def test_resubscription_sorts_no_events(spark):
     assert sorted(map(tuple, found.collect())) == sorted(want)
     status = found.where("kind = 'status'")._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in status and "Sort" not in status
+
+
+def test_chunks_leave_in_bounded_batches(spark):
+    rows = ((i, 0, "x" * 90) for i in range(50_000))
+    schema = pa.schema([("id", pa.int64()), ("chunk_index", pa.int32()), ("chunk", pa.string())])
+    sizes = [(b.num_rows, b.nbytes) for b in chunking.in_parts(rows, schema)]
+    assert sum(n for n, _ in sizes) == 50_000 and max(b for _, b in sizes) < 2 * chunking.OUT
+    docs = spark.createDataFrame([(1, "a b\n" * 9000), (2, None), (None, "c\nd")], "doc_id long, text string").coalesce(1)
+    got = [tuple(r) for r in chunking.separator_chunks(docs, chunk_size=99, overlap=20).collect()]
+    assert got == [(1, i, w) for i, w in enumerate(chunking.separator_windows("a b\n" * 9000, 99, 20, "\n"))] + [(None, 0, "c\nd")]
