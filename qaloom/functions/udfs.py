@@ -18,12 +18,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def common_length(masks: dict[str, int], size: int, text: str) -> int:
+    """The length of the longest common subsequence of a text and one of ``size`` characters, whose places are the bits of ``masks``."""
+    full = (1 << size) - 1
+    rest = full
+    for c in text:
+        if m := masks.get(c):
+            shared = rest & m
+            rest = (rest + shared | rest - shared) & full
+    return size - rest.bit_count()
+
+
 def best_window_ratio(page: str, quote: str) -> tuple[float, str]:
     """The best difflib ratio of a quote with any window of its length; the first best wins.
 
     Windows are cut from the page as it is and lower-cased each, since lower-casing can lengthen a text. How many
-    characters a window shares with the quote, kept up to date as it slides, bounds its ratio; difflib compares only
-    windows whose bound exceeds the best so far, in order, so its result is that of comparing all.
+    characters a window shares with the quote, kept up to date as it slides, bounds its ratio, and so does their longest
+    common subsequence, as the blocks that difflib matches are one; difflib compares only
+    windows whose bounds exceed the best so far, in order, so its result is that of comparing all.
     """
     wanted, size = quote.lower(), len(quote)
     if not wanted:
@@ -33,6 +45,9 @@ def best_window_ratio(page: str, quote: str) -> tuple[float, str]:
     best, found = 0.0, ""
     matcher = difflib.SequenceMatcher(None)
     lows = [c.lower() for c in page]
+    masks: dict[str, int] = {}
+    for i, c in enumerate(wanted):
+        masks[c] = masks.get(c, 0) | 1 << i
     spare = Counter(wanted)  # what of the quote the window at hand lacks; negative where it has more
     shared, length, sigma = 0, 0, "\u03a3" in page
 
@@ -62,6 +77,8 @@ def best_window_ratio(page: str, quote: str) -> tuple[float, str]:
         window = page[i : i + size].lower()
         if window == wanted:
             return 1.0, page[i : i + size]
+        if best and 2.0 * common_length(masks, len(wanted), window) / (len(wanted) + len(window)) <= best:
+            continue
         # The order of the sequences and the fresh matcher matter for ties inside difflib.
         matcher.set_seqs(wanted, window)
         ratio = matcher.ratio()

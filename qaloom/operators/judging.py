@@ -186,8 +186,9 @@ def verify_citations(citations: DataFrame, pages: DataFrame, threshold: float =
     exact = marked.where("_exact").select(
         "*", F.lit(1.0).alias("_ratio"), F.expr("substring(_page, greatest(locate(lower(coalesce(quote, '')), lower(_page)), 1), length(coalesce(quote, '')))").alias("actual_text")
     )
-    # The few that need difflib are dealt out evenly, as each costs far more than reading it.
-    rest = marked.where(~F.col("_exact")).repartition(*citations.columns).withColumn("_w", sequence_ratio(page, quote)).select(
+    # The few that need difflib are dealt out evenly, as each costs far more than reading it; to a number of tasks, as Spark would put few bytes together.
+    n = int(citations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = marked.where(~F.col("_exact")).repartition(n, *citations.columns).withColumn("_w", sequence_ratio(page, quote)).select(
         *marked.columns, F.col("_w.ratio").alias("_ratio"), F.col("_w.window").alias("actual_text")
     )
     both = exact.unionByName(rest)

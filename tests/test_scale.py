@@ -1,5 +1,6 @@
 """What must not grow with the number of keys, queries or paths."""
 
+import difflib
 import os
 import random
 
@@ -7,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from qaloom.operators import chunking, graph, retrieval, tasks
+from qaloom.functions import udfs
+from qaloom.operators import chunking, graph, judging, retrieval, tasks
 from qaloom.plans import ORACLES
 from qaloom.sources.store import Checkpoints, Runs
 
@@ -123,3 +125,32 @@ def test_chunks_leave_in_bounded_batches(spark):
     docs = spark.createDataFrame([(1, "a b\n" * 9000), (2, None), (None, "c\nd")], "doc_id long, text string").coalesce(1)
     got = [tuple(r) for r in chunking.separator_chunks(docs, chunk_size=99, overlap=20).collect()]
     assert got == [(1, i, w) for i, w in enumerate(chunking.separator_windows("a b\n" * 9000, 99, 20, "\n"))] + [(None, 0, "c\nd")]
+
+
+def test_difflib_compares_only_windows_that_may_be_better(monkeypatch):
+    rng = random.Random(1)
+    page = "".join(rng.choices("abcdefghij ", k=1500))
+    quote = "".join(c if i % 4 else "#" for i, c in enumerate(page[700:740]))
+    best, found = max(((difflib.SequenceMatcher(None, quote, page[i : i + 40]).ratio(), -i) for i in range(len(page) - 39)))
+    calls, real = [], difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda self: calls.append(1) or real(self))
+    assert udfs.best_window_ratio(page, quote) == (best, page[-found : 40 - found]) and len(calls) < 200
+    for _ in range(200):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 12))) for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        assert udfs.common_length({c: sum(1 << i for i, y in enumerate(a) if y == c) for c in a}, len(a), b) == row[-1]
+
+
+def _next(row, x, b):
+    out = [0]
+    for j, y in enumerate(b):
+        out.append(row[j] + 1 if x == y else max(row[j + 1], out[-1]))
+    return out
+
+
+def test_citations_for_difflib_are_not_put_in_few_tasks(spark):
+    pages = spark.range(300).select("id", F.lit(1).alias("page_number"), F.concat(F.lit("a page of few words "), "id").alias("text")).withColumnRenamed("id", "doc")
+    cites = pages.select("doc", "page_number", F.concat(F.lit("x"), F.substring("text", 2, 12)).alias("quote"))
+    assert len({r[0] for r in judging.verify_citations(cites, pages).select(F.spark_partition_id()).collect()}) > 4
