@@ -154,3 +154,14 @@ def test_citations_for_difflib_are_not_put_in_few_tasks(spark):
     pages = spark.range(300).select("id", F.lit(1).alias("page_number"), F.concat(F.lit("a page of few words "), "id").alias("text")).withColumnRenamed("id", "doc")
     cites = pages.select("doc", "page_number", F.concat(F.lit("x"), F.substring("text", 2, 12)).alias("quote"))
     assert len({r[0] for r in judging.verify_citations(cites, pages).select(F.spark_partition_id()).collect()}) > 4
+
+
+def test_paths_are_dealt_by_how_many_they_make(spark):
+    star = spark.range(1, 400).select(F.lit("hub").alias("a"), F.format_string("leaf%d", "id").alias("b"))
+    links = graph.both_ways(star)
+    now = star.select(F.array("b", "a").alias("path"))
+    made = graph._extended(now, links, 10_000)
+    sizes = [r["n"] for r in made.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == made.distinct().count() == 399 * 398 and max(sizes) < 60_000 and len(sizes) > 6
+    got = {tuple(r["path"]) for r in graph.paths(star, spark.createDataFrame([("leaf7",)], "node string"), 2).collect()}
+    assert got == {("leaf7", "hub")} | {("leaf7", "hub", f"leaf{i}") for i in range(1, 400) if i != 7}
